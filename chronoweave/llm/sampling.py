@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,28 +16,16 @@ def is_held_out(doc_id: Column) -> Column:
 def per_label_sample(labelled: DataFrame, per_label: int) -> DataFrame:
     """At most ``per_label`` rows of ``labelled(doc_id, label)`` for each label, by the hash of the id.
 
-    Each partition keeps its own lowest hashes before anything is shuffled, so that a label with
-    most of the rows costs no more than a rare one.
+    Only rows whose hash lies in the lowest share of all hashes that holds about twice as many rows are
+    sorted, so that the work doesn't grow with a label's rows. With fewer rows than that all are.
     """
-
-    def lowest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for batch in batches:
-            kept = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            kept = kept.sort_values(["label", "rank", "doc_id"]).groupby("label", sort=False).head(per_label)
-        if kept is not None:
-            yield kept
-
-    ranked = labelled.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select(
+    real = labelled.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select(
         "doc_id", "label", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).alias("rank")
     )
+    shares = real.groupBy("label").agg((F.lit(2.0 * per_label + 200) / F.count("*")).alias("share"))
+    low = real.join(shares, "label").where(F.col("rank") / F.lit(2.0**64) + F.lit(0.5) <= F.col("share"))
     order = Window.partitionBy("label").orderBy("rank", "doc_id")
-    return (
-        ranked.mapInPandas(lowest, ranked.schema)
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= per_label)
-        .select("doc_id", "label")
-    )
+    return low.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label).select("doc_id", "label")
 
 
 def training_rows(docs: DataFrame, labelled: DataFrame, per_label: int) -> DataFrame:
