@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDS = 5
+LABELS = 256
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -16,13 +17,14 @@ def is_held_out(doc_id: Column) -> Column:
 def per_label_sample(labelled: DataFrame, per_label: int) -> DataFrame:
     """At most ``per_label`` rows of ``labelled(doc_id, label)`` for each label, by the hash of the id.
 
-    Only rows whose hash lies in the lowest share of all hashes that holds about twice as many rows are
+    Of more than ``LABELS`` labels the most frequent count, which bounds the sample. Only rows whose hash lies in the lowest share of all hashes that holds about twice as many rows are
     sorted, so that the work doesn't grow with a label's rows. With fewer rows than that all are.
     """
     real = labelled.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull()).select(
         "doc_id", "label", F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")).alias("rank")
     )
-    shares = real.groupBy("label").agg((F.lit(2.0 * per_label + 200) / F.count("*")).alias("share"))
+    counts = real.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LABELS)
+    shares = F.broadcast(counts.select("label", (F.lit(2.0 * per_label + 200) / F.col("n")).alias("share")))
     low = real.join(shares, "label").where(F.col("rank") / F.lit(2.0**64) + F.lit(0.5) <= F.col("share"))
     order = Window.partitionBy("label").orderBy("rank", "doc_id")
     return low.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label).select("doc_id", "label")
