@@ -14,10 +14,9 @@ from chronoweave.llm.staging import Staging
 NEAREST = 20
 #: Bound of the sample that the partitions and the classifier are fitted to.
 SAMPLE = 8192
-PARTITION_ROWS = 1024
 MOST_PARTITIONS = 256
 TARGET = 0.97
-CHUNK = 4096
+CHUNKS = {"v": 32768, "q": 4096}
 _GRAPH = 16
 _HIDDEN = 128
 _EPOCHS = 25
@@ -159,10 +158,12 @@ def fit(sample: np.ndarray, parts: int, target: float = TARGET, nearest: int = N
 
 def nearest_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, id, score) of the k largest inner products of each query, ties to the smaller id; its own id aside."""
-    scores = queries @ vectors.T
-    scores[query_ids[:, None] == ids[None, :]] = -np.inf
     out = []
-    for q, row in zip(range(len(queries)), scores, strict=True):
+    for q in range(len(queries)):
+        if q % 64 == 0:
+            scores = queries[q : q + 64] @ vectors.T
+            scores[query_ids[q : q + 64, None] == ids[None, :]] = -np.inf
+        row = scores[q % 64]
         floor = np.partition(row, len(row) - k)[len(row) - k] - 1e-9 if len(row) > k else -np.inf
         some = np.flatnonzero((row >= floor) & (row > -np.inf))
         # A product of matrices may round equal vectors differently; sums over a row don't.
@@ -199,7 +200,8 @@ def search(vectors: DataFrame, every: int = 20, nearest: int = NEAREST, sample:
     rows = staging.write(usable(vectors), "vectors")
     count = rows.count()
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("e").collect()
-    parts = max(1, min(MOST_PARTITIONS, count // PARTITION_ROWS))
+    # Each probed partition offers its best to a query; so partitions are fewer than rows would ask for.
+    parts = max(1, min(MOST_PARTITIONS, round(count ** (1 / 3)))) if count >= 1000 else 1
     router = fit(np.array([x.e for x in taken], np.float64).reshape(len(taken), -1), parts, nearest=nearest)
     dim = len(taken[0].e) if taken else 0
 
@@ -218,9 +220,9 @@ def search(vectors: DataFrame, every: int = 20, nearest: int = NEAREST, sample:
             "asked",
         )
     chunks = {part: [1, 1] for part in range(router.parts)}
-    for side, table in enumerate((placed, asked)):
+    for side, (name, table) in enumerate((("v", placed), ("q", asked))):
         for x in table.groupBy("part").count().collect():
-            chunks[x.part][side] = -(-x["count"] // CHUNK)
+            chunks[x.part][side] = -(-x["count"] // CHUNKS[name])
     sizes = F.broadcast(spark.createDataFrame([(p, a, b) for p, (a, b) in chunks.items()], "part int, v_chunks int, q_chunks int"))
 
     def spread(table: DataFrame, own: str, other: str) -> DataFrame:
