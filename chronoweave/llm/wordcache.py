@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 
-REMEMBERED = 500_000
+REMEMBERED = 350_000
 CHUNK_CHARS = 4 << 20
 
 
