@@ -20,6 +20,7 @@ BLOCKS = 5
 SIMILARITY = 0.9
 CHUNK = 1024
 _BITMAP_BITS = 22
+_GROUP = ["key", "table_no", "one", "two"]
 _EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 _SINGLE = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
 #: Two fingerprints with at most RADIUS differing bits agree in BLOCKS - RADIUS blocks at least.
@@ -166,12 +167,11 @@ def _frame(rows: np.ndarray, chunk: np.ndarray | int) -> pd.DataFrame:
     return out
 
 
-def verify(rows: pd.DataFrame, least: float = SIMILARITY) -> pd.DataFrame:
-    """Edges of the rows(table_no, line, fp, plain) of one group that are near and similar, without cycles."""
-    rows = rows.sort_values("line", kind="stable").drop_duplicates("line")
-    fp, table = rows["fp"].to_numpy(np.int64).view(np.uint64), int(rows["table_no"].iloc[0])
-    texts, names = rows["plain"].to_list(), rows["line"].to_numpy(np.int64)
-    root, edges = np.arange(len(rows)), []
+def verify(table: int, names: np.ndarray, fp: np.ndarray, texts: list[str], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Edges, without cycles, of the lines of one group that are near by this table and similar."""
+    names, at = np.unique(names, return_index=True)
+    fp, texts = fp[at].view(np.uint64), [texts[k] for k in at]
+    root, edges = list(range(len(names))), []
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -179,7 +179,7 @@ def verify(rows: pd.DataFrame, least: float = SIMILARITY) -> pd.DataFrame:
             i = root[i]
         return i
 
-    for i in range(len(rows)):
+    for i in range(len(names) - 1):
         differ = fp[i] ^ fp[i + 1 :]
         near = np.flatnonzero(np.bitwise_count(differ) <= RADIUS)
         near = near[_first_table(differ[near]) == table] + i + 1
@@ -187,8 +187,29 @@ def verify(rows: pd.DataFrame, least: float = SIMILARITY) -> pd.DataFrame:
             a, b = find(i), find(j)
             if a != b and similar(texts[i], texts[j], least):
                 root[max(a, b)] = min(a, b)
-                edges.append((names[i], names[j]))
-    return pd.DataFrame(edges, columns=["a", "b"])
+                edges.append((int(names[i]), int(names[j])))
+    return edges
+
+
+def _verified(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Edges of all groups of rows sorted by group; a group has at most two chunks of lines."""
+
+    def settle(rows: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
+        table, names, fp = (rows[c].to_numpy(np.int64) for c in ("table_no", "line", "fp"))
+        texts, edges = rows["plain"].to_list(), []
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            edges += verify(int(table[a]), names[a:b], fp[a:b], texts[a:b], least)
+        return pd.DataFrame(edges, columns=["a", "b"])
+
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        group = rows[_GROUP].to_numpy(np.int64)
+        bounds = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist()]
+        yield settle(rows, bounds)
+        held = rows.iloc[bounds[-1] :]
+    if held is not None:
+        yield settle(held, [0, len(held)])
 
 
 class IdFilter:
@@ -249,8 +270,8 @@ def line_groups(docs: DataFrame, staging: Staging, least: float = SIMILARITY) ->
     halves = long.join(chunks, "key").select("key", "table_no", "line", "fp", "chunk", other).select(
         "key", "table_no", "line", "fp", F.least("chunk", "other").cast("int").alias("one"), F.greatest("chunk", "other").cast("int").alias("two")
     )
-    groups = whole.unionByName(halves).join(texts, "line").groupBy("key", "table_no", "one", "two")
-    edges = groups.applyInPandas(lambda rows: verify(rows, least), "a long, b long")
+    rows = whole.unionByName(halves).join(texts, "line").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    edges = rows.mapInPandas(lambda batches: _verified(batches, least), "a long, b long")
     grouped = connected_components(staging.write(edges, "similar"), staging)
     named = distinct.join(grouped.withColumnRenamed("node", "line"), "line", "left")
     return found, named.select("digest", "first", "count", F.coalesce("root", "line").alias("root"))
