@@ -93,7 +93,7 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model of the text and non-null lang of a bounded sample of ``docs`` outside the held-out fold."""
     known = docs.select("doc_id", F.col("lang").alias("label"))
     got = training_rows(docs, known, per_language).toPandas().sort_values(["doc_id", "text"], kind="stable")
-    got = got[got["text"].map(has_letter)]
+    got = got[got["text"].map(has_letter).astype(bool)]
     return fit(got["text"].to_list(), got["label"].to_list())
 
 
