@@ -139,7 +139,7 @@ def fit(sample: np.ndarray, parts: int, target: float = TARGET, nearest: int = N
     vector's nearest in the sample lies in its most probable partitions. In all the data the nearest
     are nearer than those in a sample, so that this errs on the safe side.
     """
-    if parts == 1 or len(sample) < 4 * nearest:
+    if parts == 1 or len(sample) < 4 * max(_GRAPH, nearest):
         return Router(1, 1)
     unit = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
     near = _neighbours(sample.astype(np.float32), max(_GRAPH, nearest))
@@ -202,7 +202,7 @@ def search(vectors: DataFrame, every: int = 20, nearest: int = NEAREST, sample:
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("e").collect()
     # Each probed partition offers its best to a query; so partitions are fewer than rows would ask for.
     parts = max(1, min(MOST_PARTITIONS, round(count ** (1 / 3)))) if count >= 1000 else 1
-    router = fit(np.array([x.e for x in taken], np.float64).reshape(len(taken), -1), parts, nearest=nearest)
+    router = fit(np.array([x.e for x in taken], np.float64), parts, nearest=nearest)
     dim = len(taken[0].e) if taken else 0
 
     @F.pandas_udf("array<int>")
