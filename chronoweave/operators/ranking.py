@@ -24,9 +24,10 @@ def bm25(docs: DataFrame, doc_id: str, text: str, terms: list[str], k: int = 20)
     k1 = 1.2, b = 0.75; an idf that isn't positive counts as 1e-6. Terms are counted where the texts
     lie, and only documents that have one are shuffled.
     """
-    tokens = words(F.col(text))
-    counted = docs.select(
-        F.col(doc_id).alias("doc_id"),
+    # The explode of one element keeps the optimizer from tokenizing again for each term.
+    tokens = F.col("tokens")
+    counted = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array(words(F.col(text)))).alias("tokens")).select(
+        "doc_id",
         F.size(tokens).alias("len"),
         *[_times(tokens, t).cast("double").alias(f"f{i}") for i, t in enumerate(terms)],
     )
