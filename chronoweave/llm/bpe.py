@@ -14,13 +14,15 @@ from chronoweave.llm.staging import Staging
 from chronoweave.llm.wordcache import REMEMBERED, WordCache, by_chunk
 
 _WORDS_A_QUERY = 20_000
-_BYTES_A_QUERY = 1 << 19
+#: A query keeps the rows of all its turns: for a word up to the square of its bytes.
+_ROWS_A_QUERY = 8_000_000
 _IDS_A_QUERY = 1 << 19
 _workers: dict[tuple[str, str], "DuckBpe"] = {}
 
 #: A state has a row for each token of each word that still changes: its place, its follower, and what
 #: the two merge to. The leftmost pair of least rank of each word is contracted: its first row takes
-#: the merged token, its second row goes, and the changed pairs meet the merge table again.
+#: the merged token, its second row goes, and the changed pairs meet the merge table again. Words that
+#: still change after the given number of turns come back as open.
 _ENCODE = """
 WITH RECURSIVE state AS (
   SELECT 0 AS turn, b.word, b.pos, b.token, n.pos AS next_pos, n.token AS following, m.merged
@@ -43,11 +45,11 @@ WITH RECURSIVE state AS (
       )
     ) b ON b.word = s.word
     JOIN state q ON q.word = b.word AND q.pos = b.absorbed
-    WHERE s.pos <> b.absorbed
+    WHERE s.pos <> b.absorbed AND s.turn < $turns
   ) s
   LEFT JOIN merges m ON m.pair = s.token::BIGINT << 32 | s.following
 )
-SELECT word, list(token ORDER BY pos) AS ids
+SELECT word, list(token ORDER BY pos) AS ids, count(merged) > 0 AS open
 FROM state JOIN (SELECT word, max(turn) AS turn FROM state GROUP BY word) USING (word, turn)
 GROUP BY word
 """
@@ -105,8 +107,8 @@ class DuckBpe:
         start = 0
         while start < len(apart):
             stop, size = start, 0
-            while stop < len(apart) and stop - start < _WORDS_A_QUERY and (stop == start or size + len(apart[stop][1]) <= _BYTES_A_QUERY):
-                size += len(apart[stop][1])
+            while stop < len(apart) and stop - start < _WORDS_A_QUERY and (stop == start or size + len(apart[stop][1]) ** 2 <= _ROWS_A_QUERY):
+                size += len(apart[stop][1]) ** 2
                 stop += 1
             for k, ids in self._contract([data for _, data in apart[start:stop]]):
                 out[apart[start + k][0]] = np.array(ids, np.uint32).tobytes()
@@ -114,15 +116,22 @@ class DuckBpe:
         return out
 
     def _contract(self, words: list[bytes]) -> list[tuple[int, list[int]]]:
-        lengths = [len(data) for data in words]
-        codes = np.frombuffer(b"".join(words), np.uint8)
-        first = np.repeat(np.cumsum([0, *lengths[:-1]]), lengths)
-        bytes_of_words = pd.DataFrame({  # noqa: F841
-            "word": np.repeat(np.arange(len(words), dtype=np.int32), lengths),
-            "pos": (np.arange(len(codes)) - first).astype(np.int32),
-            "token": self.single[codes],
-        })
-        return self.db.execute(_ENCODE).fetchall()
+        """(number, ids) of each word. Long words take several queries, so that none keeps too many rows."""
+        names, lengths = np.arange(len(words), dtype=np.int32), np.array([len(data) for data in words], np.int64)
+        tokens, done = self.single[np.frombuffer(b"".join(words), np.uint8)], []
+        while len(names):
+            first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+            bytes_of_words = pd.DataFrame({  # noqa: F841
+                "word": np.repeat(names, lengths),
+                "pos": (np.arange(len(tokens)) - first).astype(np.int32),
+                "token": tokens,
+            })
+            found = self.db.execute(_ENCODE, {"turns": max(1, _ROWS_A_QUERY // len(tokens))}).fetchall()
+            done += [(word, ids) for word, ids, is_open in found if not is_open]
+            rest = [(word, ids) for word, ids, is_open in found if is_open]
+            names, lengths = np.array([word for word, _ in rest], np.int32), np.array([len(ids) for _, ids in rest], np.int64)
+            tokens = np.array([token for _, ids in rest for token in ids], np.int32)
+        return done
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, little-endian unsigned 32-bit."""

@@ -86,6 +86,19 @@ def test_bpe(docs, rows):
     assert all(bytes(x.ids) == want[key(x.doc_id)] and bytes(x.decoded).decode() == texts[key(x.doc_id)] for x in found)
 
 
+def test_bpe_of_long_words():
+    import tiktoken
+
+    path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    ours = bpe.DuckBpe(path, public_tokenizers.PATTERN)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ours.ranks, special_tokens={})
+    rng = np.random.default_rng(5)
+    texts = ["A" * 9000, "".join(rng.choice(list("漢字仮名交文"), 2500)), " ".join("".join(rng.choice(list("abcdeé"), 900)) for _ in range(30))]
+    ids = ours.encode(texts)
+    assert ids == [np.array(known.encode_ordinary(t), np.uint32).tobytes() for t in texts]
+    assert ours.decode(ids) == [t.encode() for t in texts]
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
