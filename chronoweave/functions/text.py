@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,3 +84,60 @@ def visible_text(html: Column) -> Column:
 
 def page_title(html: Column) -> Column:
     return collapse(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+
+
+def useful(text: Column) -> Column:
+    """Whether a text tells something: no menu, 40 letters and digits or more, 4 words or more."""
+    plain = F.coalesce(text, F.lit(""))
+    signs = F.length(F.regexp_replace(plain, r"[^\p{L}\p{N}]", ""))
+    return ~is_menu(plain) & (signs >= 40) & (F.size(F.split(collapse(plain), " ")) >= 4)
+
+
+def choose(first: Column, second: Column) -> Column:
+    """The first of two texts that is useful, ``first`` before ``second``; else ``second``, else ``first``."""
+    blank = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    return F.when(useful(first), first).when(useful(second), second).otherwise(F.coalesce(blank(second), blank(first), F.lit("")))
+
+
+def without_lines(text: Column, known: list[str]) -> Column:
+    """The text without blank lines and without lines that, lower-cased, are ``known``; blanks collapsed."""
+    gone = F.array(*[F.lit(x) for x in known])
+    lines = F.transform(F.split(text, "\n"), lambda x: collapse(x))
+    return F.array_join(F.filter(lines, lambda x: (x != "") & ~F.array_contains(gone, F.lower(x))), "\n")
+
+
+def match_expression(text: Column) -> Column:
+    """The words of a text in quotes, joined by OR, as a full-text index takes them."""
+    plain = F.transform(F.split(text, " "), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
+    return F.array_join(F.transform(F.filter(plain, lambda w: w != ""), lambda w: F.concat(F.lit('"'), w, F.lit('"'))), " OR ")
+
+
+def region_score(text: Column, area: Column) -> Column:
+    """How much a region of a screen tells: its length, weighed by the mean line and the area; a quarter for menus."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    total = F.aggregate(lines, F.lit(0), lambda s, x: s + F.length(x)).cast("double")
+    mean = total / F.greatest(F.size(lines), F.lit(1))
+    shape = F.lit(0.35) + F.lit(0.65) * F.least(mean / 36, F.lit(1.0))
+    size = F.lit(0.45) + F.lit(0.55) * F.least(area / F.lit(180000.0), F.lit(1.0))
+    return F.length(text) * shape * size * F.when(is_menu(text), 0.25).otherwise(1.0)
+
+
+def hashed_embedding(text: Column, size: int = 384) -> Column:
+    """A unit vector of signed hashed words, and of pairs of words by half; zeros for a text without words."""
+    word = re.compile(r"\w+")
+
+    @F.pandas_udf("array<double>")
+    def embedded(texts: pd.Series) -> pd.Series:
+        out = []
+        for one in texts:
+            tokens, vector = word.findall((one or "").casefold()), np.zeros(size)
+            pairs = [f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False)]
+            for weight, terms in ((1.0, tokens), (0.5, pairs)):
+                for term in terms:
+                    digest = hashlib.blake2b(term.encode(), digest_size=16).digest()
+                    vector[int.from_bytes(digest[:4], "big") % size] += weight if digest[4] & 1 else -weight
+            length = np.sqrt(vector @ vector)
+            out.append(vector / length if length else vector)
+        return pd.Series(out)
+
+    return embedded(text)

@@ -117,3 +117,23 @@ def first_hit(text: Column, term: str) -> Column:
     """The offset, from 0, of the first match of a term as a whole word, or null."""
     at = F.regexp_instr(text, F.lit(rf"(?i)\b{term}\b"))
     return F.when(at > 0, at - 1)
+
+
+def fires(at: Column, cooldown: int) -> Column:
+    """How many of the sorted instants of an array fire, when none does within ``cooldown`` of the last that did."""
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        on = s["last"].isNull() | (x - s["last"] >= cooldown)
+        return F.struct(F.when(on, x).otherwise(s["last"]).alias("last"), (s["n"] + on.cast("long")).alias("n"))
+
+    return F.aggregate(at, start, step, lambda s: s["n"])
+
+
+def backlog(df: DataFrame, key: str, deferred: Column, pending: Column, ts: str, now: Column, many: int, old_s: int) -> DataFrame:
+    """(key, deferred, pending, recommend): catching up is due with ``many`` deferred rows, or one ``old_s`` old."""
+    from chronoweave.operators.sessions import seconds_between
+
+    counts = df.groupBy(key).agg(F.count_if(deferred).alias("deferred"), F.count_if(pending).alias("pending"), F.min(F.when(deferred, F.col(ts))).alias("oldest"))
+    due = (F.col("deferred") >= many) | ((F.col("deferred") > 0) & (seconds_between(now, F.col("oldest")) >= old_s))
+    return counts.select(key, "deferred", "pending", F.coalesce(due, F.lit(False)).alias("recommend"))

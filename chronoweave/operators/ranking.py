@@ -62,3 +62,8 @@ def recency_in_set(df: DataFrame, ts: str) -> DataFrame:
     ends = df.agg(F.min(ts).alias("oldest"), F.max(ts).alias("newest"))
     span = F.greatest(seconds_between(F.col("newest"), F.col("oldest")), F.lit(1.0))
     return df.crossJoin(F.broadcast(ends)).withColumn("recency", seconds_between(F.col(ts), F.col("oldest")) / span).drop("oldest", "newest")
+
+
+def page(ordered: DataFrame, limit: int, offset: int, most: int) -> DataFrame:
+    """Rows of an ordered frame from ``offset`` on; the limit is cut to 1 to ``most``, the offset to 0 or more."""
+    return ordered.offset(max(0, offset)).limit(max(1, min(most, limit)))

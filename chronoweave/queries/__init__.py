@@ -1,6 +1,6 @@
 """Queries over the driver's tables: each applies operators of the library, with the SQL that gives the same rows."""
 
-from chronoweave.queries import relational, retrieval, scalar
+from chronoweave.queries import relational, retrieval, scalar, workflow
 
-QUERIES = relational.QUERIES | scalar.QUERIES | retrieval.QUERIES
-ORACLES = relational.ORACLES | scalar.ORACLES | retrieval.ORACLES
+QUERIES = relational.QUERIES | scalar.QUERIES | retrieval.QUERIES | workflow.QUERIES
+ORACLES = relational.ORACLES | scalar.ORACLES | retrieval.ORACLES | workflow.ORACLES

@@ -98,3 +98,30 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {(x.event_type, x.w, x.n) for x in want.collect()}
     twins.run_available(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), lambda df, _: df.write.mode("append").parquet(out), str(tmp_path / "cp"))
     assert spark.read.parquet(out).count() == events.count()
+
+
+def test_leader_clusters(spark):
+    from chronoweave.operators.memory import leader_clusters
+
+    rows = [(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0]), (4, None), (5, [0.6, 0.8]), (6, [0.0, 0.0])]
+    found = leader_clusters(spark.createDataFrame([(0, *r) for r in rows], "g int, id long, v array<double>"), ["g"], "id", "v", 0.75)
+    # 5 is near 2, which leads nothing, and near 3, which leads.
+    assert {x.id: x.leader for x in found.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3, 6: 6}
+
+
+def test_frame_groups(spark):
+    from chronoweave.operators.memory import frame_groups, kept_frames
+
+    frames = spark.createDataFrame([(0, 1000, 0), (0, 21000, 0), (0, 41000, 0), (0, 42000, -1)], "g int, ts_ms long, mark long")
+    sizes = {x.frame_group: x["count"] for x in frame_groups(frames, ["g"], "ts_ms", "mark").groupBy("frame_group").count().collect()}
+    assert sizes == {1000: 2, 41000: 1, 42000: 1}
+    assert [x.kept for x in kept_frames(frames, ["g"], "ts_ms", "mark").orderBy("ts_ms").collect()] == [True, False, False, True]
+    assert frame_groups(frames.limit(0), ["g"], "ts_ms", "mark").count() == 0
+
+
+def test_hashed_embedding(spark):
+    from chronoweave.functions.text import hashed_embedding
+
+    rows = spark.createDataFrame([("one two",), ("two one",), ("",), (None,)], "t string").select(hashed_embedding("t").alias("e")).collect()
+    norms = [round(sum(x * x for x in r.e), 9) for r in rows]
+    assert norms == [1.0, 1.0, 0.0, 0.0] and rows[0].e != rows[1].e and len(rows[0].e) == 384
