@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,3 +139,19 @@ def backlog(df: DataFrame, key: str, deferred: Column, pending: Column, ts: str,
     counts = df.groupBy(key).agg(F.count_if(deferred).alias("deferred"), F.count_if(pending).alias("pending"), F.min(F.when(deferred, F.col(ts))).alias("oldest"))
     due = (F.col("deferred") >= many) | ((F.col("deferred") > 0) & (seconds_between(now, F.col("oldest")) >= old_s))
     return counts.select(key, "deferred", "pending", F.coalesce(due, F.lit(False)).alias("recommend"))
+
+
+def seen_before(text: Column, before: Column) -> Column:
+    """A verdict without a model: what the rows before say already isn't interesting; without such rows none."""
+    return F.when(F.size(before) == 0, F.lit(None)).when(F.array_contains(before, text), "not_interesting").otherwise("interesting")
+
+
+def tier2(df: DataFrame, key: str, order: list[str], text: str, decide: Callable[[Column, Column], Column] = seen_before, context: int = 3) -> DataFrame:
+    """``df`` with a verdict where it was null, by ``decide(text, texts of up to ``context`` rows before)``.
+
+    A null of ``decide`` leaves the row deferred.
+    """
+    own = Window.partitionBy(key).orderBy(*order)
+    before = F.array_compact(F.array(*[F.lag(text, n).over(own) for n in range(context, 0, -1)]))
+    rows = df.withColumn("before", before)
+    return rows.withColumn("verdict", F.coalesce("verdict", decide(F.col(text), F.col("before")))).drop("before")

@@ -67,3 +67,32 @@ def recency_in_set(df: DataFrame, ts: str) -> DataFrame:
 def page(ordered: DataFrame, limit: int, offset: int, most: int) -> DataFrame:
     """Rows of an ordered frame from ``offset`` on; the limit is cut to 1 to ``most``, the offset to 0 or more."""
     return ordered.offset(max(0, offset)).limit(max(1, min(most, limit)))
+
+
+def rendered(rows: DataFrame, order: list[str], line: str, most_rows: int, most_chars: int) -> DataFrame:
+    """One row, shown: how many of how many rows are shown, and the first rows' lines, cut at ``most_chars``."""
+    total = rows.agg(F.count("*").alias("total"))
+    top = rows.select(*order, line).orderBy(*order).limit(most_rows)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(*order, line))), lambda x: x[line])
+    text = F.concat(F.lit("showing "), F.size("lines").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit("\n"), F.array_join("lines", "\n"))
+    return top.agg(lines.alias("lines")).crossJoin(F.broadcast(total)).select(F.substring(text, 1, most_chars).alias("shown"))  # one row each
+
+
+def within_budget(df: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:
+    """Rows of a key in order until their texts have ``most`` characters; the last one is cut. A null text has none."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    used = df.withColumn("used", F.coalesce(F.sum(F.length(text)).over(before), F.lit(0)))
+    return used.where(F.col("used") < most).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(most) - F.col("used")).cast("int"))).drop("used")
+
+
+def artifacts(df: DataFrame, text: str, terms: list[str], ts: str, item: str, k: int, fall_back: bool = True) -> DataFrame:
+    """The ``k`` rows with the most of ``terms`` in their text, newest first among equals, with score, that share.
+
+    Rows without text don't count, nor rows without any term. Without terms the newest rows come, with
+    score 0, if ``fall_back``, else none.
+    """
+    from chronoweave.functions.text import keyword_share
+
+    shown = df.where(F.trim(F.col(text)) != "").withColumn("score", keyword_share(F.col(text), terms))
+    wanted = shown.where("score > 0") if terms else shown.where(F.lit(fall_back))
+    return wanted.orderBy(F.desc("score"), F.desc(ts), item).limit(k)

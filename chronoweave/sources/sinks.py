@@ -61,3 +61,21 @@ def export_document(sections: dict[str, tuple[DataFrame, list[str]]]) -> DataFra
         part = df.select(F.lit(name).alias("section"), place.alias("position"), F.to_json(F.struct(*df.columns)).alias("row"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def cleared(tables: dict[str, DataFrame], scopes: list[str]) -> dict[str, DataFrame]:
+    """What is left of ``tables`` when ``scopes`` are cleared, with the clusters of the facts that stay.
+
+    ``events`` takes sessions and the facts that were distilled from events along; ``all`` is every table but
+    facts, which only ``memory`` empties. Clusters without facts go; centroids and counts are those of what stays.
+    """
+    from chronoweave.functions.vector import mean_vector
+
+    wanted = {*scopes, *(("events", "screenshots", "conversations") if "all" in scopes else ())}
+    gone = wanted | ({"sessions"} if "events" in wanted else set()) | ({"facts"} if "memory" in wanted else set())
+    left = {name: df.where(F.lit(False)) if name in gone else df for name, df in tables.items()}
+    if "facts" in left:
+        if "events" in wanted:
+            left["facts"] = left["facts"].where("source is distinct from 'distiller'")
+        left["clusters"] = mean_vector(left["facts"], "cluster_id", "embedding")
+    return left

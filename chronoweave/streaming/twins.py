@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from chronoweave.operators.enrich import ALPHA
 
 
 def with_event_time(df: DataFrame, ts: str, late: str) -> DataFrame:
@@ -34,3 +38,43 @@ def insert_or_ignore(df: DataFrame, key: str, ts: str, late: str = "1 hour") ->
 def run_available(df: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Process what is there in batches and stop; ``each`` gets every batch once more after a failure in it."""
     df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def ewma(df: DataFrame, key: str, order: str, value: str, alpha: float = ALPHA) -> DataFrame:
+    """(key, n, mean, var) of each key that had rows in a batch, as ``enrich.ewma_last`` has it; the state is three numbers.
+
+    Rows count in order within a batch; a row that comes after its batch counts when it comes. Null values don't count.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, mean, var = state.get if state.exists else (-1, 0.0, 0.0)
+        rows = pd.concat(list(frames)).dropna(subset=[value])
+        for x in rows.sort_values(order)[value].astype(float):
+            delta = x - mean
+            n, mean, var = n + 1, x if n < 0 else alpha * x + (1 - alpha) * mean, 0.0 if n < 0 else (1 - alpha) * (var + alpha * delta * delta)
+        state.update((n, mean, var))
+        yield pd.DataFrame({key: [name[0]], "n": [n], "mean": [mean], "var": [var]})
+
+    rows = df.select(key, order, value)
+    return rows.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, n long, mean double, var double", "n long, mean double, var double", "update", GroupStateTimeout.NoTimeout
+    )
+
+
+def alerts(df: DataFrame, key: str, at: str, cooldown: int) -> DataFrame:
+    """(key, at) of the instants that fire: none within ``cooldown`` of the key's last that did. ``at`` is a long."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, fired = state.get[0] if state.exists else None, []
+        for x in pd.concat(list(frames))[at].dropna().astype("int64").sort_values().tolist():
+            if last is None or x - last >= cooldown:
+                last = x
+                fired.append(x)
+        if last is not None:
+            state.update((last,))
+        yield pd.DataFrame({key: [name[0]] * len(fired), at: fired})
+
+    rows = df.select(key, at)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {at} long", "last long", "update", GroupStateTimeout.NoTimeout)
