@@ -1,7 +1,8 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact cosine of TF-IDF weighed by label, over a block-max inverted index."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +16,17 @@ from chronoweave.llm.staging import Staging
 
 #: Bound of the labelled examples: so many rows for each label at most.
 EXAMPLES_PER_LABEL = 2000
-TERMS = 4096
 NEAREST = 15
 THRESHOLD = 0.5
 BLOCK = 32
 _PREFIXES = (4, 5, 6)
-_CHI2 = 30.0
 _SOFTEN = 0.05
-_FILTER_BITS = 20
-_REMEMBERED = 50_000
+#: Terms in more than this part of the examples have their postings in blocks.
+_LONG = 12
+_ROUND = 32
+_TOGETHER = 64
+_RANGE = 4096
+_REMEMBERED = 10_000
 
 
 def all_terms(text: str) -> np.ndarray:
@@ -33,13 +36,16 @@ def all_terms(text: str) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Examples as unit TF-IDF vectors in an inverted index, in blocks that know each term's largest weight."""
+    """Examples as unit vectors in an inverted index, in blocks that know each frequent term's largest weight."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]],
-                 shares: np.ndarray, block: int = BLOCK):
-        """``terms`` sorted; ``vectors`` hold term numbers and unit weights; ``shares`` weigh a vote of each label."""
-        self.terms, self.idf, self.block, self.shares = terms, idf, block, shares
-        # Examples with the same strongest term come together, which keeps most block maxima at 0.
+                 shares: np.ndarray, block: int = BLOCK, unknown: float = 1.0):
+        """``terms`` sorted, with weights ``idf``; ``vectors`` hold term numbers and unit weights; ``shares`` weigh a vote of each label.
+
+        ``unknown`` is the weight of a term that no example has.
+        """
+        self.terms, self.idf, self.block, self.shares, self.unknown = terms, idf, block, shares, unknown
+        # Examples with the same strongest term come together, which keeps most block maxima low.
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
         order = [k for k in sorted(range(len(vectors)), key=lambda k: (lead[k], k)) if lead[k] >= 0]
         bare = labels[[k for k in range(len(vectors)) if lead[k] < 0]].astype(int)
@@ -47,69 +53,88 @@ class BlockMaxIndex:
         self.blank = float((weight @ bare + 0.5 * shares.min()) / (weight.sum() + shares.min()))
         self.ids, self.labels = [ids[k] for k in order], labels[order].astype(int)
         self.blocks = -(-len(order) // block)
-        rows = np.concatenate([np.full(len(vectors[k][0]), place) for place, k in enumerate(order)] or [np.zeros(0)]).astype(np.int64)
-        columns = np.concatenate([vectors[k][0] for k in order] or [np.zeros(0)]).astype(np.int64)
+        rows = np.concatenate([np.full(len(vectors[k][0]), place) for place, k in enumerate(order)] or [np.zeros(0)]).astype(np.int32)
+        columns = np.concatenate([vectors[k][0] for k in order] or [np.zeros(0)]).astype(np.int32)
         weights = np.concatenate([vectors[k][1] for k in order] or [np.zeros(0)])
+        # Long lists of postings lie in blocks, which may be passed over; short ones are read whole.
+        df = np.bincount(columns, minlength=len(terms))
+        often = np.flatnonzero(df * _LONG > len(order))
+        self.place = np.full(len(terms), -1, np.int32)
+        self.place[often] = np.arange(len(often))
+        self.dense = np.zeros((self.blocks, len(often), block))
+        long = self.place[columns] >= 0
+        self.dense[rows[long] // block, self.place[columns[long]], rows[long] % block] = weights[long]
+        self.most = self.dense.max(axis=2).T.copy()
+        rows, columns, weights = rows[~long], columns[~long], weights[~long]
         by_term = np.lexsort((rows, columns))
         self.rows, self.weights = rows[by_term], weights[by_term]
-        cell = columns[by_term] * self.blocks + self.rows // block
-        self.start = np.searchsorted(cell, np.arange(len(terms) * self.blocks + 1))
-        self.most = np.zeros(len(terms) * self.blocks)
-        np.maximum.at(self.most, cell, self.weights)
-        self.most = self.most.reshape(len(terms), self.blocks)
-        self.seen = np.zeros(1 << _FILTER_BITS, bool)
-        self.seen[(terms >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self.start = np.searchsorted(columns[by_term], np.arange(len(terms) + 1))
         self.remembered: dict[bytes, tuple[float, list]] = {}
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit weights of a whole text; both empty if it has no term of the index."""
-        hashes = all_terms(text)
-        hashes = hashes[self.seen[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)]]
+        """Term numbers and weights of the terms of the index in a whole text; both empty if it has none.
+
+        The weights are those of the text's unit vector, in which its other terms count as well.
+        """
+        hashes, counts = np.unique(all_terms(text), return_counts=True)
         if not len(self.terms) or not len(hashes):
             return np.zeros(0, np.int64), np.zeros(0)
         place = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        numbers, counts = np.unique(place[self.terms[place] == hashes], return_counts=True)
-        return numbers, unit(counts, self.idf[numbers])
+        known = self.terms[place] == hashes
+        return place[known], unit(counts, np.where(known, self.idf[place], self.unknown))[known]
 
     def nearest(self, numbers: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k examples nearest to a vector; those with cosine 0 don't count.
+        """Places and cosines of the k examples nearest to a vector; those with cosine 0 don't count."""
+        return self.nearest_of([(numbers, weights)], k)[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each of ``vectors``.
 
-        Exact: blocks are read by falling upper bound, until no bound reaches the k-th best cosine.
+        Exact: short lists are summed whole. Those sums are lower bounds of the cosines, so a block is
+        passed over for a vector when its upper bound doesn't reach the k-th best of them.
         """
-        bounds = weights @ self.most[numbers]
-        found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < least - 1e-12:
-                break
-            sums = np.zeros(self.block)
-            for number, weight in zip(numbers, weights, strict=True):
-                cell = number * self.blocks + b
-                own = slice(self.start[cell], self.start[cell + 1])
-                sums[self.rows[own] - b * self.block] += weight * self.weights[own]
-            some = np.flatnonzero(sums)
-            found, cosines = np.concatenate((found, some + b * self.block)), np.concatenate((cosines, sums[some]))
+        size = self.blocks * self.block
+        sums, heavy = np.zeros((len(vectors), size)), np.zeros((len(vectors), self.dense.shape[1]))
+        for row, dense, (numbers, weights) in zip(sums, heavy, vectors, strict=True):
+            place = self.place[numbers]
+            long = place >= 0
+            dense[place[long]] = weights[long]
+            own = numbers[~long]
+            n = self.start[own + 1] - self.start[own]
+            at = np.repeat(self.start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            row[:] = np.bincount(self.rows[at], self.weights[at] * np.repeat(weights[~long], n), minlength=size)
+        bounds = sums.reshape(len(vectors), self.blocks, self.block).max(axis=2) + heavy @ self.most
+        least = np.zeros(len(vectors))
+        for turn, b in enumerate(np.argsort(-bounds.sum(axis=0), kind="stable")):
+            if turn % _ROUND == 0 and size > k:
+                least = np.partition(sums, size - k, axis=1)[:, size - k]
+            own = slice(b * self.block, (b + 1) * self.block)
+            alive = (bounds[:, b] > 0) & (bounds[:, b] >= least - 1e-12)
+            sums[alive, own] += heavy[alive] @ self.dense[b]
+            sums[~alive, own] = 0
+        out = []
+        for row in sums:
+            found = np.flatnonzero(row)
             if len(found) > k:
-                best = np.lexsort((found, -np.round(cosines, 12)))[:k]
-                found, cosines = found[best], cosines[best]
-            if len(found) == k:
-                least = cosines.min()
-        best = np.lexsort((found, -np.round(cosines, 12)))
-        return found[best], np.minimum(cosines[best], 1.0)
-
-    def vote(self, text: str) -> tuple[float, list]:
-        """(score, evidence): the nearest examples' labels weighed by nearness, and (id, label, cosine) of each."""
-        numbers, weights = self.vector(text)
-        key = numbers.tobytes() + weights.tobytes()
-        if key not in self.remembered:
-            if len(self.remembered) >= _REMEMBERED:
-                self.remembered.clear()
-            found, cosines = self.nearest(numbers, weights) if len(numbers) else (np.zeros(0, np.int64), np.zeros(0))
-            share = self.shares[self.labels[found]] / (1 - cosines + _SOFTEN)
-            one = self.shares.min()
-            score = float((share @ self.labels[found] + one * self.blank) / (share.sum() + one))
-            evidence = [(self.ids[i], int(self.labels[i]), float(c)) for i, c in zip(found, cosines, strict=True)]
-            self.remembered[key] = score, evidence
-        return self.remembered[key]
+                found = found[row[found] >= np.partition(row[found], len(found) - k)[len(found) - k] - 1e-11]
+            best = found[np.lexsort((found, -np.round(row[found], 12)))[:k]]
+            out.append((best, np.minimum(row[best], 1.0)))
+        return out
+
+    def votes(self, texts: list[str]) -> list[tuple[float, list]]:
+        """(score, evidence) of each text: the nearest examples' labels weighed by nearness, and (id, label, cosine) of each."""
+        keys = [hashlib.md5(text.encode()).digest() for text in texts]
+        if len(self.remembered) >= _REMEMBERED:
+            self.remembered.clear()
+        new = list({key: text for key, text in zip(keys, texts, strict=True) if key not in self.remembered}.items())
+        for start in range(0, len(new), _TOGETHER):
+            part = new[start : start + _TOGETHER]
+            for (key, _), (found, cosines) in zip(part, self.nearest_of([self.vector(text) for _, text in part]), strict=True):
+                share = self.shares[self.labels[found]] / (1 - cosines + _SOFTEN)
+                one = self.shares.min()
+                score = float((share @ self.labels[found] + one * self.blank) / (share.sum() + one))
+                self.remembered[key] = score, [(self.ids[i], int(self.labels[i]), float(c)) for i, c in zip(found, cosines, strict=True)]
+        return [self.remembered[key] for key in keys]
 
 
 def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -117,12 +142,15 @@ def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return weights / max(np.sqrt(weights @ weights), 1e-300)
 
 
-def build(ids: list, labels: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], population: np.ndarray, most_terms: int = TERMS) -> BlockMaxIndex:
+def build(ids: list, labels: np.ndarray, terms: list[tuple[np.ndarray, np.ndarray]], population: np.ndarray,
+          frequencies: np.ndarray | None = None, documents: int | None = None) -> BlockMaxIndex:
     """An index of examples given as (term hashes, counts), distinct within an example.
 
-    Its terms are those whose presence depends on the label beyond chance (chi-square of at least 30),
-    the strongest ``most_terms`` of them. ``population`` has the number of rows of each label, of which the
-    examples are a sample.
+    All their terms count. A term's weight is its idf times sqrt(1 + chi-square of its presence and the
+    label), so that terms by chance keep their plain idf. ``population`` has the number of rows of each
+    label, of which the examples are a sample. ``frequencies`` has in how many of ``documents`` each
+    of ``vocabulary(terms)`` is; without it the examples are the documents. A term of no example
+    gets the idf of one in a share 1 / (examples + 1) of the documents.
     """
     labels = np.asarray(labels, int)
     every = np.concatenate([t for t, _ in terms] or [np.zeros(0, np.uint64)])
@@ -133,16 +161,55 @@ def build(ids: list, labels: np.ndarray, terms: list[tuple[np.ndarray, np.ndarra
     df, without = with_term.sum(axis=0), total[:, None] - with_term
     det = with_term[1] * without[0] - with_term[0] * without[1]
     chi2 = total.sum() * det**2 / np.maximum(df * without.sum(axis=0) * total[0] * total[1], 1)
-    chosen = np.flatnonzero(chi2 >= _CHI2)
-    chosen = np.sort(chosen[np.lexsort((names[chosen], -chi2[chosen]))[:most_terms]])
-    names, idf = names[chosen], np.log1p(len(terms) / df[chosen]) if len(chosen) else np.zeros(0)
-    vectors = []
-    for hashes, counts in terms:
-        place = np.minimum(np.searchsorted(names, hashes), max(0, len(names) - 1))
-        own = names[place] == hashes if len(names) else np.zeros(len(hashes), bool)
-        order = np.argsort(place[own])
-        vectors.append((place[own][order], unit(counts[own][order], idf[place[own][order]])))
-    return BlockMaxIndex(names, idf, ids, labels, vectors, population / np.maximum(total, 1))
+    if frequencies is None:
+        frequencies, documents = df, len(terms)
+    weight = np.log1p(documents / np.maximum(frequencies, 1)) * np.sqrt(1 + chi2)
+    vectors, start = [], 0
+    for _, counts in terms:
+        own = at[start : start + len(counts)]
+        start += len(counts)
+        vectors.append((own, unit(counts, weight[own])))
+    return BlockMaxIndex(names, weight, ids, labels, vectors, population / np.maximum(total, 1), unknown=float(np.log1p(len(terms) + 1)))
+
+
+def vocabulary(terms: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The distinct term hashes of examples, sorted."""
+    return np.unique(np.concatenate([t for t, _ in terms] or [np.zeros(0, np.uint64)]))
+
+
+def document_frequencies(docs: DataFrame, names: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many rows of ``docs(text)`` each of the sorted term hashes ``names`` is, and the number of rows.
+
+    Each task counts in an array of the size of ``names``; the arrays are added by ranges of terms.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(names)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, n = shared.value, 0
+        counts = np.zeros(len(names) + 1, np.int64)
+        for batch in batches:
+            n += len(batch)
+            for text in batch["text"]:
+                hashes = np.unique(all_terms(text or ""))
+                place = np.searchsorted(names, hashes)
+                inside = place < len(names)
+                place, hashes = place[inside], hashes[inside]
+                counts[place[names[place] == hashes]] += 1
+        counts[-1] = n
+        if n:
+            ranges = range(0, len(counts), _RANGE)
+            yield pd.DataFrame({"first": list(ranges), "counts": [counts[k : k + _RANGE].tobytes() for k in ranges]})
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, np.int64) for x in rows["counts"])
+        return pd.DataFrame({"first": rows["first"].iloc[:1], "counts": [total.tobytes()]})
+
+    kind = "first long, counts binary"
+    out = np.zeros(len(names) + 1, np.int64)
+    for x in docs.select("text").mapInPandas(counted, kind).groupBy("first").applyInPandas(added, kind).collect():
+        own = np.frombuffer(bytes(x.counts), np.int64)
+        out[x.first : x.first + len(own)] = own
+    return out[:-1], int(out[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABEL) -> BlockMaxIndex:
@@ -166,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABE
     sizes = {x.label: x["count"] for x in known.where(~is_held_out(F.col("doc_id"))).groupBy("label").count().collect()}
     terms = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int32)) for t, c in zip(got["terms"], got["counts"], strict=True)]
     population = np.array([max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))], float)
-    return build(got["doc_id"].to_list(), got["label"].to_numpy(int), terms, population)
+    return build(got["doc_id"].to_list(), got["label"].to_numpy(int), terms, population, *document_frequencies(docs, vocabulary(terms)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -183,8 +250,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     @F.pandas_udf(f"score double, evidence array<struct<doc_id: {kind}, label: int, cosine: double>>")
     def voted(texts: pd.Series) -> pd.DataFrame:
         index, scores, evidence = shared.value, [], []
-        for text in texts:
-            score, shown = index.vote(text or "")
+        for score, shown in index.votes([text or "" for text in texts]):
             scores.append(score)
             evidence.append([{"doc_id": i, "label": y, "cosine": c} for i, y, c in shown])
         return pd.DataFrame({"score": pd.Series(scores, dtype="float64"), "evidence": pd.Series(evidence, dtype="object")})

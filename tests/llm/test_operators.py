@@ -155,6 +155,24 @@ def test_block_max_is_exact():
         assert np.allclose(cosines, np.sort(dense @ q)[::-1][:10])
 
 
+def test_toxicity_counts_all_terms(spark):
+    texts = [f"shared plain{k} line{k % 3} of{k % 4}" for k in range(20)]
+    terms = [np.unique(toxicity.all_terms(t), return_counts=True) for t in texts]
+    labels = np.array([k % 2 for k in range(20)])
+    names = toxicity.vocabulary(terms)
+    every = [*texts, *texts[:7], "shared and new", None, ""]
+    docs = spark.createDataFrame([(t,) for t in every], "text string").repartition(4)
+    frequencies, documents = toxicity.document_frequencies(docs, names)
+    sets = [set(toxicity.all_terms(t or "").tolist()) for t in every]
+    assert documents == len(every) and frequencies.tolist() == [sum(int(n) in s for s in sets) for n in names]
+    index = toxicity.build(list(range(20)), labels, terms, np.array([10.0, 10.0]), frequencies, documents)
+    assert len(index.terms) == len(names) and sorted(index.ids) == list(range(20))
+    for k, text in enumerate(texts):
+        found, cosines = index.nearest(*index.vector(text))
+        assert index.ids[found[0]] == k and np.isclose(cosines[0], 1) and cosines[1] < 0.99
+    assert index.nearest(*index.vector("shared but everything else unknown"))[1].max() < 0.5
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(1500, 16))
