@@ -209,6 +209,12 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
     """
     staging = Staging(docs.sparkSession, "near")
     prints = staging.write(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "fingerprints")
+    label = _labels(prints, staging, radius, blocks).select("fp", "component_id")
+    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+
+
+def _labels(prints: DataFrame, staging: Staging, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(fp, root, component_id) for each distinct fp of ``prints(doc_id, fp)``; root is the least fingerprint of its group."""
     points = staging.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumnRenamed("fp", "point"), "points")
     edges = staging.write(links(points, staging, radius, blocks), "links")
     grouped = connected_components(edges, staging)
@@ -216,17 +222,45 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
         "point", "least", F.coalesce("root", "point").alias("root")
     )
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.join(least, "root").select(F.col("point").alias("fp"), "component_id")
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    return named.join(least, "root").select(F.col("point").alias("fp"), "root", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each near-duplicate group: the smallest doc_id, with its columns as they are.
+    """One row of ``docs`` for each near-duplicate group, with its columns as they are.
 
-    Of rows that share that doc_id one stays; of a group of null ids only, one stays.
+    Of a group the row with the smallest doc_id stays (null ids last), of those the one with the smallest
+    hash of its text; of rows that share both one stays. Groups are told apart by fingerprints, so rows
+    that share an id, or have none, stay in each of their groups.
     """
-    groups = near_groups(docs)
-    stays = groups.groupBy("component_id").agg(F.count("*").alias("size")).select(F.col("component_id").alias("stay_id"), "size")
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["stay_id"]), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    staging = Staging(docs.sparkSession, "near")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    prints = staging.write(
+        docs.select("doc_id", fingerprints(F.col("text")).alias("fp"), F.col("text").isNull().alias("blank"), digest.alias("digest")), "fingerprints"
+    )
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "blank")).alias("best")
+    # The best row of each fingerprint, then of each group: no more rows meet than there are fingerprints.
+    least = prints.groupBy("fp").agg(best)
+    stays = staging.write(
+        least.join(_labels(prints.select("doc_id", "fp"), staging), "fp").groupBy("root").agg(F.min("best").alias("best"))
+        .select(F.col("best.doc_id").alias("stay_id"), F.col("best.digest").alias("stay_digest"), F.col("best.blank").alias("stay_blank")),
+        "stays",
+    )
+    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
+    named = named.select("doc", "doc_id", F.col("text").isNull().alias("blank"), digest.alias("digest"))
+    met = named.join(
+        stays,
+        F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("digest") == F.col("stay_digest")) & (F.col("blank") == F.col("stay_blank")),
+        "left_semi",
+    )
+    # Only wholly repeated ids and texts let one decision meet several rows.
+    key = ["doc_id", "digest", "blank"]
+    repeated = prints.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        return met.select("doc.*")
+    again = repeated.select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("blank").alias("r_blank"), F.lit(True).alias("again"))
+    flagged = met.join(
+        again, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")) & (F.col("blank") == F.col("r_blank")), "left"
+    )
+    single = flagged.where("again is null").select("doc.*")
+    several = flagged.where("again").dropDuplicates(key).select("doc.*")
+    return single.unionByName(several)

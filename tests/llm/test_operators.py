@@ -54,6 +54,18 @@ def test_near(docs, rows):
                 assert x.component_id == y.component_id
 
 
+def test_near_keeps_one_of_each_group_by_text(spark):
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(9)]
+    data = [(None, t) for t in texts[:4]] + [(None, texts[0]), (None, texts[0].upper()), (5, texts[4]), (5, texts[5]), (5, texts[5]), (6, texts[5])]
+    data += [(7, texts[6]), (None, texts[6]), (8, texts[7]), (None, None), (None, ""), (None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("other", F.lit(1)).repartition(3)
+    kept = [(x.doc_id, (x.text or "").lower()) for x in near_dedup.keep_one_of_each(df).collect()]
+    want = [(None, t) for t in texts[:4]] + [(5, texts[4]), (5, texts[5]), (7, texts[6]), (8, texts[7]), (None, "")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("blocks", [1, 2, 3])
 def test_vantage_trees(blocks):
     rng = np.random.default_rng(blocks)
