@@ -17,7 +17,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: documents in no language learned from the documents go."""
+    """Operator 1: documents without a letter go.
+
+    Nothing is rejected by score: every text with a letter gets the nearest of the languages learned, so junk
+    and other languages stay. If no language is learned, all documents go.
+    """
     return language_id.keep_known(docs, docs)
 
 
