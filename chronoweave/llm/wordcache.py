@@ -22,18 +22,27 @@ class WordCache:
         self.young: dict = {}
         self.old: dict = {}
 
-    def values(self, texts: list[list]) -> list[bytes]:
-        """The joined values of the words of each text."""
+    def of(self, words: Iterable) -> list[bytes]:
+        """The value of each of ``words``, which are distinct."""
         if len(self.young) > self.remembered:
             self.old, self.young = self.young, {}
-        young, old, new = self.young, self.old, []
-        for word in set().union(*texts) - young.keys():
-            if word in old:
-                young[word] = old[word]
+        words = list(words)
+        out, new = list(map(self.young.get, words)), []
+        for k in [k for k, value in enumerate(out) if value is None]:
+            out[k] = self.old.get(words[k])
+            if out[k] is None:
+                new.append(k)
             else:
-                new.append(word)
-        young.update(zip(new, self.make(new), strict=True))
-        return [b"".join(map(young.__getitem__, words)) for words in texts]
+                self.young[words[k]] = out[k]
+        for k, value in zip(new, self.make([words[k] for k in new]), strict=True):
+            out[k] = self.young[words[k]] = value
+        return out
+
+    def values(self, texts: list[list]) -> list[bytes]:
+        """The joined values of the words of each text."""
+        words = list(set().union(*texts))
+        table = dict(zip(words, self.of(words), strict=True))
+        return [b"".join(map(table.__getitem__, words)) for words in texts]
 
 
 def by_chunk(batches: Iterable[pd.DataFrame], column: str = "text", chars: int = CHUNK_CHARS) -> Iterator[pd.DataFrame]:
