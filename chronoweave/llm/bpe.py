@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.staging import Staging
-from chronoweave.llm.wordcache import REMEMBERED, WordCache, by_chunk
+from chronoweave.llm.wordcache import CHUNK_CHARS, REMEMBERED, WordCache, by_chunk
 
 _WORDS_A_QUERY = 20_000
 #: A query keeps the rows of all its turns: for a word up to the square of its bytes.
 _ROWS_A_QUERY = 8_000_000
 _IDS_A_QUERY = 1 << 19
+_WORDS_AT_ONCE = 1 << 19
 _workers: dict[tuple[str, str], "DuckBpe"] = {}
 
 #: A state has a row for each token of each word that still changes: its place, its follower, and what
@@ -134,27 +136,46 @@ class DuckBpe:
         return done
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each whole text, little-endian unsigned 32-bit."""
-        return self.cache.values([self.pattern.findall(text) for text in texts])
+        """The ids of each whole text, little-endian unsigned 32-bit. The words of a long text are looked up some at a time."""
+        short = [k for k, text in enumerate(texts) if len(text) <= CHUNK_CHARS]
+        out = [b""] * len(texts)
+        for k, ids in zip(short, self.cache.values([self.pattern.findall(texts[k]) for k in short]), strict=True):
+            out[k] = ids
+        for k, text in enumerate(texts):
+            if len(text) > CHUNK_CHARS:
+                words, parts = (m.group() for m in self.pattern.finditer(text)), []
+                while some := list(islice(words, _WORDS_AT_ONCE)):
+                    parts += self.cache.values([some])
+                out[k] = b"".join(parts)
+        return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each sequence of ids."""
-        out, start = [b""] * len(ids), 0
-        while start < len(ids):
-            stop, size = start, 0
-            while stop < len(ids) and (stop == start or size + len(ids[stop]) // 4 <= _IDS_A_QUERY):
-                size += len(ids[stop]) // 4
-                stop += 1
-            lengths = [len(x) // 4 for x in ids[start:stop]]
-            ids_of_texts = pd.DataFrame({  # noqa: F841
-                "doc": np.repeat(np.arange(start, stop, dtype=np.int32), lengths),
-                "pos": np.arange(size, dtype=np.int64),
-                "token": np.frombuffer(b"".join(ids[start:stop]), np.uint32).astype(np.int32),
-            })
-            for doc, text in self.db.execute(_DECODE).fetchall():
-                out[doc] = np.frombuffer(text.encode("utf-16-le"), np.uint8)[::2].tobytes()
-            start = stop
-        return out
+        """The bytes of each sequence of ids. A query has a bounded number of ids: long sequences take several, in order."""
+        out: list[list[bytes]] = [[] for _ in ids]
+        held, size = [], 0
+        for number, own in enumerate(ids):
+            for start in range(0, len(own), 4 * _IDS_A_QUERY):
+                part = own[start : start + 4 * _IDS_A_QUERY]
+                if size + len(part) > 4 * _IDS_A_QUERY:
+                    self._decoded(held, out)
+                    held, size = [], 0
+                held.append((number, part))
+                size += len(part)
+        self._decoded(held, out)
+        return [b"".join(parts) for parts in out]
+
+    def _decoded(self, parts: list[tuple[int, bytes]], out: list[list[bytes]]) -> None:
+        """Append the bytes of each of ``parts``, (number, ids), to those of its number."""
+        if not parts:
+            return
+        data = b"".join(ids for _, ids in parts)
+        ids_of_texts = pd.DataFrame({  # noqa: F841
+            "doc": np.repeat(np.array([number for number, _ in parts], np.int32), [len(ids) // 4 for _, ids in parts]),
+            "pos": np.arange(len(data) // 4, dtype=np.int64),
+            "token": np.frombuffer(data, np.uint32).astype(np.int32),
+        })
+        for doc, text in self.db.execute(_DECODE).fetchall():
+            out[doc].append(np.frombuffer(text.encode("utf-16-le"), np.uint8)[::2].tobytes())
 
 
 def worker_bpe(path: str, pattern: str) -> DuckBpe:
@@ -168,7 +189,8 @@ def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``docs(doc_id, text)`` as doc_id, ids (array of int) of the whole text and decoded (its bytes again).
 
     ``path`` is a file of ranks that every executor has, ``pattern`` the pattern that splits texts into
-    words. A null or empty text has no id. Ids are those of byte-level BPE without special tokens.
+    words. A null or empty text has no id. Ids are those of byte-level BPE without special tokens. A text
+    of any length is encoded and decoded some words and some ids at a time; an empty table gives no row.
     """
     Staging(docs.sparkSession, "bpe")
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -111,12 +111,27 @@ def test_bpe_of_long_words():
     assert ours.decode(ids) == [t.encode() for t in texts]
 
 
+def test_bpe_of_a_long_text(rows):
+    import tiktoken
+
+    path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    ours = bpe.DuckBpe(path, public_tokenizers.PATTERN)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ours.ranks, special_tokens={})
+    some = "".join(t for _, t in rows if t)
+    long = (some * (50_000_000 // len(some) + 1))[:50_000_000]
+    texts = [some, long, "", "end"]
+    ids = ours.encode(texts)
+    assert [len(x) for x in ids][1] > 8 * bpe._IDS_A_QUERY
+    assert ids[0] == np.array(known.encode_ordinary(some), np.uint32).tobytes() and ids[3] == np.array(known.encode_ordinary("end"), np.uint32).tobytes()
+    assert ids[1] == np.array(known.encode_ordinary(long), np.uint32).tobytes()
+    assert ours.decode(ids) == [t.encode() for t in texts]
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
     path = tokenizer_file("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     found = packing.pack(docs, path, length=512).collect()
     places = sorted((x.sequence_id * 512 + x.offset, x.length) for x in found)
     assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:], strict=False)) and places[0][0] == 0
@@ -125,6 +140,22 @@ def test_packing(docs, rows):
     assert all(zlib.crc32(want[key(x.doc_id)][x.start : x.start + x.length].tobytes()) == x.ids_crc32 for x in found)
 
 
+@pytest.mark.parametrize("special", [True, False])
+def test_words_are_encoded_as_the_library_does(rows, special, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = not special
+    texts = [t or "" for _, t in rows] + [f"{chr(c)}a{chr(c)}B {chr(c)}1" for c in range(0x250)]
+    for chars in (packing.CHUNK_CHARS, 300):  # with the smaller, texts are cut at blanks
+        monkeypatch.setattr(packing, "CHUNK_CHARS", chars)
+        ids, counts = packing.WordEncoder(path, special, remembered=500).encode(texts)
+        want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert [len(x) for x in packing.WordEncoder(path).encode([])] == [0, 0]
+
+
 def test_sharding(docs, rows):
     found = sharding.shard(docs, shards=5, virtual_nodes=8).collect()
     assert len(found) == len(rows)
@@ -201,6 +232,7 @@ def test_empty(spark, docs, labels):
     marks = labels.select("doc_id", F.col("quality").alias("label")).limit(0)
     made = [
         exact_dedup.decide(none), exact_dedup.keep_one(none), near_dedup.near_groups(none), near_dedup.keep_one_of_each(none), sharding.shard(none),
+        bpe.digests(none, tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN),
         packing.pack(none, tokenizer_file("word_bpe_49k.json")), quality.quality_scores(none, marks), toxicity.toxicity(none, marks),
         language_id.languages(none), line_dedup.dedup_lines(none), ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")),
     ]
