@@ -16,6 +16,8 @@ from chronoweave.llm.staging import Staging
 
 #: Bound of the labelled examples: so many rows for each label at most.
 EXAMPLES_PER_LABEL = 2000
+#: Bound of the examples of each label that the calibration is fitted to.
+CALIBRATED_PER_LABEL = 500
 NEAREST = 15
 THRESHOLD = 0.5
 BLOCK = 32
@@ -27,6 +29,8 @@ _ROUND = 32
 _TOGETHER = 64
 _RANGE = 4096
 _REMEMBERED = 10_000
+#: More than single precision can err in a sum of products of two unit vectors' weights.
+_ERROR = 1e-5
 
 
 def all_terms(text: str) -> np.ndarray:
@@ -35,6 +39,33 @@ def all_terms(text: str) -> np.ndarray:
     return np.concatenate([words, *heads])
 
 
+class Names:
+    """Sorted hashes, found by their leading bits."""
+
+    def __init__(self, names: np.ndarray):
+        self.names = names
+        self.bits = max(1, int(np.ceil(np.log2(max(2, len(names))))) + 1)
+        heads = (names >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.start = np.searchsorted(heads, np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.longest = int(np.diff(self.start).max(initial=0))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashes`` are there, and the place of each of those."""
+        head = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        place, end = self.start[head], self.start[head + 1]
+        found = np.full(len(hashes), -1, np.int64)
+        asked = np.flatnonzero(place < end)
+        for k in range(self.longest):
+            at = place[asked] + k
+            met = self.names[at] == hashes[asked]
+            found[asked[met]] = at[met]
+            asked = asked[~met & (at + 1 < end[asked])]
+            if not len(asked):
+                break
+        there = found >= 0
+        return there, found[there]
+
+
 class BlockMaxIndex:
     """Examples as unit vectors in an inverted index, in blocks that know each frequent term's largest weight."""
 
@@ -45,14 +76,19 @@ class BlockMaxIndex:
         ``unknown`` is the weight of a term that no example has.
         """
         self.terms, self.idf, self.block, self.shares, self.unknown = terms, idf, block, shares, unknown
+        self.names = Names(terms)
         # Examples with the same strongest term come together, which keeps most block maxima low.
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
         order = [k for k in sorted(range(len(vectors)), key=lambda k: (lead[k], k)) if lead[k] >= 0]
         bare = labels[[k for k in range(len(vectors)) if lead[k] < 0]].astype(int)
         weight = shares[bare] if len(bare) else np.zeros(0)
-        self.blank = float((weight @ bare + 0.5 * shares.min()) / (weight.sum() + shares.min()))
+        stand = shares * np.bincount(np.asarray(labels, int), minlength=2)
+        prior = (stand[1] + 0.5) / (stand.sum() + 1)
+        self.blank = float((weight @ bare + prior * shares.min()) / (weight.sum() + shares.min()))
         self.ids, self.labels = [ids[k] for k in order], labels[order].astype(int)
         self.blocks = -(-len(order) // block)
+        #: The vectors themselves, by which the cosines of the nearest are computed in the end.
+        self.vectors = [vectors[k] for k in order]
         rows = np.concatenate([np.full(len(vectors[k][0]), place) for place, k in enumerate(order)] or [np.zeros(0)]).astype(np.int32)
         columns = np.concatenate([vectors[k][0] for k in order] or [np.zeros(0)]).astype(np.int32)
         weights = np.concatenate([vectors[k][1] for k in order] or [np.zeros(0)])
@@ -61,7 +97,7 @@ class BlockMaxIndex:
         often = np.flatnonzero(df * _LONG > len(order))
         self.place = np.full(len(terms), -1, np.int32)
         self.place[often] = np.arange(len(often))
-        self.dense = np.zeros((self.blocks, len(often), block))
+        self.dense = np.zeros((self.blocks, len(often), block), np.float32)
         long = self.place[columns] >= 0
         self.dense[rows[long] // block, self.place[columns[long]], rows[long] % block] = weights[long]
         self.most = self.dense.max(axis=2).T.copy()
@@ -70,6 +106,7 @@ class BlockMaxIndex:
         self.rows, self.weights = rows[by_term], weights[by_term]
         self.start = np.searchsorted(columns[by_term], np.arange(len(terms) + 1))
         self.remembered: dict[bytes, tuple[float, list]] = {}
+        self.slope, self.shift = 1.0, 0.0
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of the terms of the index in a whole text; both empty if it has none.
@@ -77,11 +114,10 @@ class BlockMaxIndex:
         The weights are those of the text's unit vector, in which its other terms count as well.
         """
         hashes, counts = np.unique(all_terms(text), return_counts=True)
-        if not len(self.terms) or not len(hashes):
-            return np.zeros(0, np.int64), np.zeros(0)
-        place = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        known = self.terms[place] == hashes
-        return place[known], unit(counts, np.where(known, self.idf[place], self.unknown))[known]
+        known, place = self.names.find(hashes)
+        weights = np.full(len(hashes), self.unknown)
+        weights[known] = self.idf[place]
+        return place, unit(counts, weights)[known]
 
     def nearest(self, numbers: np.ndarray, weights: np.ndarray, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k examples nearest to a vector; those with cosine 0 don't count."""
@@ -91,10 +127,11 @@ class BlockMaxIndex:
         """``nearest`` of each of ``vectors``.
 
         Exact: short lists are summed whole. Those sums are lower bounds of the cosines, so a block is
-        passed over for a vector when its upper bound doesn't reach the k-th best of them.
+        passed over for a vector when its upper bound doesn't reach the k-th best of them. Sums have
+        single precision; all examples within its error of the k-th best are computed again in double.
         """
         size = self.blocks * self.block
-        sums, heavy = np.zeros((len(vectors), size)), np.zeros((len(vectors), self.dense.shape[1]))
+        sums, heavy = np.zeros((len(vectors), size), np.float32), np.zeros((len(vectors), self.dense.shape[1]), np.float32)
         for row, dense, (numbers, weights) in zip(sums, heavy, vectors, strict=True):
             place = self.place[numbers]
             long = place >= 0
@@ -104,25 +141,33 @@ class BlockMaxIndex:
             at = np.repeat(self.start[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
             row[:] = np.bincount(self.rows[at], self.weights[at] * np.repeat(weights[~long], n), minlength=size)
         bounds = sums.reshape(len(vectors), self.blocks, self.block).max(axis=2) + heavy @ self.most
-        least = np.zeros(len(vectors))
+        least = np.zeros(len(vectors), np.float32)
         for turn, b in enumerate(np.argsort(-bounds.sum(axis=0), kind="stable")):
             if turn % _ROUND == 0 and size > k:
                 least = np.partition(sums, size - k, axis=1)[:, size - k]
             own = slice(b * self.block, (b + 1) * self.block)
-            alive = (bounds[:, b] > 0) & (bounds[:, b] >= least - 1e-12)
-            sums[alive, own] += heavy[alive] @ self.dense[b]
-            sums[~alive, own] = 0
-        out = []
-        for row in sums:
+            alive = (bounds[:, b] > 0) & (bounds[:, b] >= least - _ERROR)
+            if alive.all():
+                sums[:, own] += heavy @ self.dense[b]
+            elif alive.any():
+                sums[alive, own] += heavy[alive] @ self.dense[b]
+                sums[~alive, own] = 0
+            else:
+                sums[:, own] = 0
+        out, spread = [], np.zeros(len(self.terms))
+        for row, (numbers, weights) in zip(sums, vectors, strict=True):
             found = np.flatnonzero(row)
             if len(found) > k:
-                found = found[row[found] >= np.partition(row[found], len(found) - k)[len(found) - k] - 1e-11]
-            best = found[np.lexsort((found, -np.round(row[found], 12)))[:k]]
-            out.append((best, np.minimum(row[best], 1.0)))
+                found = found[row[found] >= np.partition(row[found], len(found) - k)[len(found) - k] - _ERROR]
+            spread[numbers] = weights
+            cosines = np.array([spread[t] @ w for t, w in map(self.vectors.__getitem__, found)])
+            spread[numbers] = 0
+            best = np.lexsort((found, -np.round(cosines, 12)))[:k]
+            out.append((found[best], np.minimum(cosines[best], 1.0)))
         return out
 
     def votes(self, texts: list[str]) -> list[tuple[float, list]]:
-        """(score, evidence) of each text: the nearest examples' labels weighed by nearness, and (id, label, cosine) of each."""
+        """(score, evidence) of each text: the calibrated vote of the nearest examples, and (id, label, cosine) of each."""
         keys = [hashlib.md5(text.encode()).digest() for text in texts]
         if len(self.remembered) >= _REMEMBERED:
             self.remembered.clear()
@@ -130,12 +175,60 @@ class BlockMaxIndex:
         for start in range(0, len(new), _TOGETHER):
             part = new[start : start + _TOGETHER]
             for (key, _), (found, cosines) in zip(part, self.nearest_of([self.vector(text) for _, text in part]), strict=True):
-                share = self.shares[self.labels[found]] / (1 - cosines + _SOFTEN)
-                one = self.shares.min()
-                score = float((share @ self.labels[found] + one * self.blank) / (share.sum() + one))
+                score = float(_sigmoid(self.slope * _logit(self.vote(found, cosines)) + self.shift))
                 self.remembered[key] = score, [(self.ids[i], int(self.labels[i]), float(c)) for i, c in zip(found, cosines, strict=True)]
         return [self.remembered[key] for key in keys]
 
+    def vote(self, found: np.ndarray, cosines: np.ndarray) -> float:
+        """The share of label 1 among examples, weighed by nearness and by what an example stands for, and one prior vote."""
+        share = self.shares[self.labels[found]] / (1 - cosines + _SOFTEN)
+        one = self.shares.min()
+        return float((share @ self.labels[found] + one * self.blank) / (share.sum() + one))
+
+    def calibrate(self, per_label: int = CALIBRATED_PER_LABEL) -> None:
+        """Fit the logistic curve from votes to scores on examples, each voted on by all others.
+
+        The fit (Platt 1999, with its softened targets) weighs examples as their label's rows in the
+        population. It is left out when a label is missing or votes don't rise with the labels.
+        """
+        own = np.concatenate([np.flatnonzero(self.labels == y)[:per_label] for y in (0, 1)])
+        if len(np.unique(self.labels[own])) < 2:
+            return
+        votes = []
+        for start in range(0, len(own), _TOGETHER):
+            part = own[start : start + _TOGETHER]
+            for k, (found, cosines) in zip(part, self.nearest_of([self.vectors[k] for k in part], NEAREST + 1), strict=True):
+                others = found != k
+                votes.append(self.vote(found[others][:NEAREST], cosines[others][:NEAREST]))
+        slope, shift = fit_logistic(_logit(np.array(votes)), self.labels[own], self.shares)
+        if slope > 0:
+            self.slope, self.shift = slope, shift
+
+
+def _logit(p: np.ndarray | float) -> np.ndarray | float:
+    p = np.clip(p, 1e-4, 1 - 1e-4)
+    return np.log(p / (1 - p))
+
+
+def _sigmoid(x: np.ndarray | float) -> np.ndarray | float:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def fit_logistic(x: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve for ``labels`` over ``x`` by Newton's method, rows weighed by their label's share."""
+    n = np.bincount(labels, minlength=2)
+    target = np.where(labels == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    weight, inputs, beta = shares[labels], np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
+    for _ in range(50):
+        p = _sigmoid(inputs @ beta)
+        slope = inputs.T @ (weight * (p - target)) + 1e-3 * beta
+        bend = (inputs * (weight * p * (1 - p))[:, None]).T @ inputs + 1e-3 * np.eye(2)
+        step = np.linalg.solve(bend, slope)
+        beta -= step * min(1, 5 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(beta[0]), float(beta[1])
+
 
 def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     weights = np.log1p(counts) * idf
@@ -168,7 +261,7 @@ def build(ids: list, labels: np.ndarray, terms: list[tuple[np.ndarray, np.ndarra
     for _, counts in terms:
         own = at[start : start + len(counts)]
         start += len(counts)
-        vectors.append((own, unit(counts, weight[own])))
+        vectors.append((own.astype(np.int32), unit(counts, weight[own])))
     return BlockMaxIndex(names, weight, ids, labels, vectors, population / np.maximum(total, 1), unknown=float(np.log1p(len(terms) + 1)))
 
 
@@ -182,19 +275,15 @@ def document_frequencies(docs: DataFrame, names: np.ndarray) -> tuple[np.ndarray
 
     Each task counts in an array of the size of ``names``; the arrays are added by ranges of terms.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+    shared = docs.sparkSession.sparkContext.broadcast(Names(names))
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, n = shared.value, 0
-        counts = np.zeros(len(names) + 1, np.int64)
+        known, n = shared.value, 0
+        counts = np.zeros(len(known.names) + 1, np.int64)
         for batch in batches:
             n += len(batch)
             for text in batch["text"]:
-                hashes = np.unique(all_terms(text or ""))
-                place = np.searchsorted(names, hashes)
-                inside = place < len(names)
-                place, hashes = place[inside], hashes[inside]
-                counts[place[names[place] == hashes]] += 1
+                counts[known.find(np.unique(all_terms(text or "")))[1]] += 1
         counts[-1] = n
         if n:
             ranges = range(0, len(counts), _RANGE)
@@ -209,6 +298,7 @@ def document_frequencies(docs: DataFrame, names: np.ndarray) -> tuple[np.ndarray
     for x in docs.select("text").mapInPandas(counted, kind).groupBy("first").applyInPandas(added, kind).collect():
         own = np.frombuffer(bytes(x.counts), np.int64)
         out[x.first : x.first + len(own)] = own
+    shared.destroy()
     return out[:-1], int(out[-1])
 
 
@@ -233,7 +323,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = EXAMPLES_PER_LABE
     sizes = {x.label: x["count"] for x in known.where(~is_held_out(F.col("doc_id"))).groupBy("label").count().collect()}
     terms = [(np.frombuffer(t, np.uint64), np.frombuffer(c, np.int32)) for t, c in zip(got["terms"], got["counts"], strict=True)]
     population = np.array([max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))], float)
-    return build(got["doc_id"].to_list(), got["label"].to_numpy(int), terms, population, *document_frequencies(docs, vocabulary(terms)))
+    index = build(got["doc_id"].to_list(), got["label"].to_numpy(int), terms, population, *document_frequencies(docs, vocabulary(terms)))
+    index.calibrate()
+    return index
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -216,6 +216,43 @@ def test_toxicity_counts_all_terms(spark):
     assert index.nearest(*index.vector("shared but everything else unknown"))[1].max() < 0.5
 
 
+def test_toxicity_is_the_calibrated_vote_of_the_nearest(spark):
+    rng = np.random.default_rng(8)
+    plain, bad = [f"w{k}" for k in range(400)], ["vile", "rotten", "scum"]
+    words = [list(rng.choice(plain, 30)) + (list(rng.choice(bad, 2)) if k % 4 == 0 else []) for k in range(600)]
+    texts, labels = [" ".join(rng.permutation(w)) for w in words], [int(k % 4 == 0) for k in range(600)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(900, None), (901, "unmet"), (None, texts[0])], "doc_id long, text string")
+    marks = spark.createDataFrame([(k, y) for k, y in enumerate(labels)] + [(3, 1), (5000, 1), (None, 1), (7, None), (8, 5)], "doc_id long, label long")
+    known = docs.where("doc_id < 600")
+    index = toxicity.train(known, marks.where("doc_id < 600 and label in (0, 1)"))
+    held = {k for k in range(600) if zlib.crc32(str(k).encode()) % 5 == 0}
+    assert sorted(index.ids) == [k for k in range(600) if k not in held]  # all examples are in the index
+    full = np.zeros((len(index.ids), len(index.terms)))
+    for row, (numbers, weights) in zip(full, index.vectors, strict=True):
+        row[numbers] = weights
+    assert np.allclose((full**2).sum(axis=1), 1)
+    scores = []
+    for k in sorted(held):
+        numbers, weights = index.vector(texts[k])
+        near = full[:, numbers] @ weights
+        best = np.lexsort((np.arange(len(near)), -np.round(near, 12)))[: toxicity.NEAREST]
+        share = index.shares[index.labels[best]] / (1 - near[best] + 0.05)
+        vote = (share @ index.labels[best] + index.shares.min() * index.blank) / (share.sum() + index.shares.min())
+        score, evidence = index.votes([texts[k]])[0]
+        assert np.isclose(score, 1 / (1 + np.exp(-(index.slope * np.log(vote / (1 - vote)) + index.shift))))
+        assert [i for i, _, _ in evidence] == [index.ids[j] for j in best] and np.allclose([c for _, _, c in evidence], near[best])
+        scores.append(score)
+    truth = np.array([labels[k] for k in sorted(held)])
+    scores = np.array(scores)
+    assert (scores[truth == 1] >= 0.5).mean() >= 0.9 and (scores[truth == 0] < 0.5).mean() >= 0.95
+    # Reliability: the mean squared error is far below that of the base rate, and the mean score near the share of label 1.
+    assert ((scores - truth) ** 2).mean() < 0.3 * truth.mean() * (1 - truth.mean()) and abs(scores.mean() - truth.mean()) < 0.08
+    found = {x.doc_id: x for x in toxicity.toxicity(docs, marks).collect()}
+    assert len(found) == 603 and found[900].score == found[900].score and not found[900].evidence and found[None].predicted == found[0].predicted
+    one_label = toxicity.toxicity(docs, marks.where("label = 0")).select("score", "predicted").distinct().collect()
+    assert all(0 <= x.score < 0.5 and x.predicted == 0 for x in one_label)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(size=(1500, 16))
