@@ -16,9 +16,12 @@ from chronoweave.llm.staging import Staging
 
 WORDS = 3
 RADIUS = 2
-BLOCKS = 3
-SHARD_ROWS = 8192
-SAMPLE = 65536
+BLOCKS = 2
+SHARD_ROWS = 16384
+#: Bound of the fingerprints that the trees are built of.
+SAMPLE = 1 << 20
+#: A fingerprint with more than this part of all rows is frequent; so no more than so many are.
+FREQUENT = 1000
 LEAF = 512
 _SEED = 42
 
@@ -142,12 +145,13 @@ def link_shard(points: np.ndarray, mask: int, radius: int, block_radius: int) ->
 
     Two points are linked when they differ in ``radius`` bits or fewer and in ``block_radius`` or fewer
     of the bits in ``mask``. The points are split about vantage points; two sides are compared only
-    where they lie within the block radius of the boundary.
+    where they lie within the block radius of the boundary. Points at one distance in the block are
+    split by all bits, and then compared within the radius of the boundary.
     """
-    forest, bits = _Forest(len(points)), np.uint64(mask)
-    todo = [np.arange(len(points))]
+    forest, every = _Forest(len(points)), np.uint64(2**64 - 1)
+    todo = [(np.arange(len(points)), np.uint64(mask), block_radius)]
     while todo:
-        own = todo.pop()
+        own, bits, reach = todo.pop()
         if len(own) <= LEAF:
             _compare(points, own, own, radius, forest)
             continue
@@ -156,12 +160,11 @@ def link_shard(points: np.ndarray, mask: int, radius: int, block_radius: int) ->
         if median == far.max():
             median -= 1
         if median < far.min():
-            _compare(points, own, own, radius, forest)
+            todo.append((own, every, radius))  # distinct points differ in some bit, so that these do split
             continue
-        inner, outer = own[far <= median], own[far > median]
-        if block_radius:
-            _compare(points, own[(far <= median) & (far > median - block_radius)], own[(far > median) & (far <= median + block_radius)], radius, forest)
-        todo += [inner, outer]
+        if reach:
+            _compare(points, own[(far <= median) & (far > median - reach)], own[(far > median) & (far <= median + reach)], radius, forest)
+        todo += [(own[far <= median], bits, reach), (own[far > median], bits, reach)]
     return forest.flat()
 
 
@@ -171,14 +174,14 @@ def links(points: DataFrame, staging: Staging, radius: int = RADIUS, blocks: int
     Distances of 64-bit fingerprints crowd about 32, so that a ball of radius 2 crosses four of ten
     cuts of one tree over all bits. Two points within the radius differ in at most ``radius // blocks``
     bits of one of ``blocks`` blocks; so there is a tree for each block, over the Hamming distance
-    within it and with that smaller radius. A point goes to each leaf that its ball can touch, as the
-    leaves are the shards; with the default there is one for each tree. Each shard gives at most an
-    edge for each of its points.
+    within it and with that smaller radius: by default two trees and a radius of 1. A point goes to each
+    leaf that its ball can touch by the triangle inequality, as the leaves are the shards. Each shard
+    gives at most an edge for each of its points.
     """
     count = points.count()
     depth = max(0, min(int(np.ceil(np.log2(max(1, count) / SHARD_ROWS))), int(np.log2(SAMPLE)) - 4))
-    taken = points.orderBy(F.xxhash64("point")).limit(min(SAMPLE, 64 << depth)).collect() if depth else []
-    sample = np.array([x.point for x in taken], np.int64).view(np.uint64)
+    taken = points.orderBy(F.xxhash64("point")).limit(min(SAMPLE, 64 << depth)).select("point") if depth else None
+    sample = (taken.toPandas()["point"].to_numpy(np.int64) if depth else np.zeros(0, np.int64)).view(np.uint64)
     masks, block_radius = _masks(blocks), radius // blocks
     trees = [VantageTree(sample, mask, depth) for mask in masks]
 
@@ -209,20 +212,24 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
     """
     staging = Staging(docs.sparkSession, "near")
     prints = staging.write(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")), "fingerprints")
-    label = _labels(prints, staging, radius, blocks).select("fp", "component_id")
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    label = staging.write(_labels(prints, staging, radius, blocks).select("fp", "component_id", "n"), "labels")
+    # Rows of frequent fingerprints, which no key may gather in one task, meet their labels where they are.
+    least = max(1, prints.count() // FREQUENT)
+    often = F.broadcast(label.where(F.col("n") > least).select("fp", "component_id"))
+    rest = prints.join(F.broadcast(often.select("fp")), "fp", "left_anti").join(label.where(F.col("n") <= least).drop("n"), "fp")
+    return prints.join(often, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def _labels(prints: DataFrame, staging: Staging, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(fp, root, component_id) for each distinct fp of ``prints(doc_id, fp)``; root is the least fingerprint of its group."""
-    points = staging.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumnRenamed("fp", "point"), "points")
+    """(fp, root, component_id, n) for each distinct fp of ``prints(doc_id, fp)``; root is the least fingerprint of its group, n its own rows."""
+    points = staging.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).withColumnRenamed("fp", "point"), "points")
     edges = staging.write(links(points, staging, radius, blocks), "links")
     grouped = connected_components(edges, staging)
     named = points.join(grouped, points["point"] == grouped["node"], "left").select(
-        "point", "least", F.coalesce("root", "point").alias("root")
+        "point", "least", "n", F.coalesce("root", "point").alias("root")
     )
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select(F.col("point").alias("fp"), "root", "component_id")
+    return named.join(least, "root").select(F.col("point").alias("fp"), "root", "component_id", "n")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
