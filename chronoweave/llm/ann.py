@@ -15,11 +15,13 @@ NEAREST = 20
 #: Bound of the sample that the partitions and the classifier are fitted to.
 SAMPLE = 8192
 MOST_PARTITIONS = 256
-TARGET = 0.97
+TARGET = 0.93
 CHUNKS = {"v": 32768, "q": 4096}
 _GRAPH = 16
 _HIDDEN = 128
 _EPOCHS = 25
+#: One of so many rows of the sample is held out of the fit, and tells how many partitions to probe.
+_HELD_OUT = 8
 
 
 def balanced_partition(vectors: np.ndarray, neighbours: np.ndarray, parts: int, rounds: int = 12) -> np.ndarray:
@@ -101,8 +103,11 @@ class Router:
     def home(self, vectors: np.ndarray) -> np.ndarray:
         return self.probabilities(vectors).argmax(axis=1)
 
-    def probed(self, vectors: np.ndarray) -> np.ndarray:
-        return np.argsort(-self.probabilities(vectors), axis=1, kind="stable")[:, : self.probes]
+    def probed(self, vectors: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The partitions to probe for each vector: more than usual where those hold fewer than ``least`` rows."""
+        order = np.argsort(-self.probabilities(vectors), axis=1, kind="stable")
+        enough = (np.cumsum(sizes[order], axis=1) < least).sum(axis=1) + 1
+        return [row[: max(self.probes, n)].astype(np.int32) for row, n in zip(order, enough, strict=True)]
 
 
 def _learn(vectors: np.ndarray, wanted: np.ndarray, epochs: int = _EPOCHS) -> tuple[np.ndarray, ...]:
@@ -135,41 +140,49 @@ def _learn(vectors: np.ndarray, wanted: np.ndarray, epochs: int = _EPOCHS) -> tu
 def fit(sample: np.ndarray, parts: int, target: float = TARGET, nearest: int = NEAREST) -> Router:
     """Partition the sample's neighbour graph, learn to route, and find how many partitions to probe.
 
-    The probes are the fewest with which, on average over the sample, the share ``target`` of a
-    vector's nearest in the sample lies in its most probable partitions. In all the data the nearest
-    are nearer than those in a sample, so that this errs on the safe side.
+    The classifier's shifts are set so that as many rows of the sample have each partition as their most
+    probable one. The probes are the fewest with which, on average over vectors held out of the fit, the
+    share ``target`` of their nearest in the rest lies in their most probable partitions. In all the data
+    the nearest are nearer than those in a sample, so that this errs on the safe side.
     """
     if parts == 1 or len(sample) < 4 * max(_GRAPH, nearest):
         return Router(1, 1)
+    asked, sample = sample[::_HELD_OUT], np.delete(sample, np.s_[::_HELD_OUT], axis=0)
     unit = (sample / np.linalg.norm(sample, axis=1, keepdims=True)).astype(np.float32)
-    near = _neighbours(sample.astype(np.float32), max(_GRAPH, nearest))
-    place = balanced_partition(unit, near[:, :_GRAPH], parts)
-    wanted = _votes(place, near[:, :_GRAPH], parts) + 2 * (place[:, None] == np.arange(parts))
+    near = _neighbours(sample.astype(np.float32), _GRAPH)
+    place = balanced_partition(unit, near, parts)
+    wanted = _votes(place, near, parts) + 2 * (place[:, None] == np.arange(parts))
     router = Router(parts, parts, _learn(unit, (wanted / wanted.sum(axis=1, keepdims=True)).astype(np.float32)))
-    order = np.argsort(-router.probabilities(sample), axis=1, kind="stable")
+    logs = np.log(np.maximum(router.probabilities(sample), 1e-30))
+    shift = np.zeros(parts)
+    for _ in range(40):
+        held = np.bincount((logs + shift).argmax(axis=1), minlength=parts)
+        shift -= 0.2 * np.log((held + 1) / (len(sample) / parts + 1))
+    router.layers = (*router.layers[:3], (router.layers[3] + shift).astype(np.float32))
+    order = np.argsort(-router.probabilities(asked), axis=1, kind="stable")
     position = np.empty_like(order)
     np.put_along_axis(position, order, np.arange(parts)[None, :], axis=1)
-    home = router.home(sample)
-    reached = np.take_along_axis(position, home[near], axis=1)
+    found = np.argpartition(-(asked @ sample.T), nearest - 1, axis=1)[:, :nearest]
+    reached = np.take_along_axis(position, router.home(sample)[found], axis=1)
     share = (reached[:, :, None] < np.arange(1, parts + 1)).mean(axis=(0, 1))
     router.probes = int(np.argmax(share >= target)) + 1
     return router
 
 
-def nearest_in_block(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, id, score) of the k largest inner products of each query, ties to the smaller id; its own id aside."""
+def nearest_in_block(query_rows: np.ndarray, queries: np.ndarray, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+    """(query row, id, score) of the k largest inner products of each query, ties to the smaller id; its own row aside."""
     out = []
     for q in range(len(queries)):
         if q % 64 == 0:
             scores = queries[q : q + 64] @ vectors.T
-            scores[query_ids[q : q + 64, None] == ids[None, :]] = -np.inf
+            scores[query_rows[q : q + 64, None] == rows[None, :]] = -np.inf
         row = scores[q % 64]
         floor = np.partition(row, len(row) - k)[len(row) - k] - 1e-9 if len(row) > k else -np.inf
         some = np.flatnonzero((row >= floor) & (row > -np.inf))
         # A product of matrices may round equal vectors differently; sums over a row don't.
         exact = (queries[q] * vectors[some]).sum(axis=1)
         best = np.lexsort((ids[some], -exact))[:k]
-        out += [(int(query_ids[q]), int(i), float(s)) for i, s in zip(ids[some][best], exact[best], strict=True)]
+        out += [(int(query_rows[q]), int(i), float(s)) for i, s in zip(ids[some][best], exact[best], strict=True)]
     return out
 
 
@@ -189,58 +202,64 @@ def usable(vectors: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, every: int = 20, nearest: int = NEAREST, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the nearest found of each query among ``vectors(vec_id, embedding)``.
 
-    Queries are rows whose vec_id is divisible by ``every``; rows with the query's vec_id are no
-    candidates. Scores are inner products in double precision; ties go to the smaller vec_id. Every
-    vector lies in its most probable partition, and a query is compared with all vectors of the
-    partitions it probes. Both sides of a partition are cut into chunks of bounded size, so that a
-    partition with most of the rows is the work of many tasks. An empty table gives no row.
+    Queries are rows whose vec_id is divisible by ``every``; all other rows are candidates, those with the
+    query's vec_id too, and each of two query rows with one vec_id has its own nearest. Scores are inner
+    products in double precision; ties go to the smaller vec_id. Every vector lies in its most probable
+    partition, and a query is compared with all vectors of the partitions it probes: more of them, if
+    those hold too few. Both sides of a partition are cut into chunks of bounded size, so that a
+    partition with most of the rows is the work of many tasks. An empty table gives no row; of fewer
+    candidates than ``nearest`` all are found.
     """
     spark = vectors.sparkSession
     staging = Staging(spark, "ann")
-    rows = staging.write(usable(vectors), "vectors")
+    rows = staging.write(usable(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
     count = rows.count()
     taken = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("e").collect()
     # Each probed partition offers its best to a query; so partitions are fewer than rows would ask for.
-    parts = max(1, min(MOST_PARTITIONS, round(count ** (1 / 3)))) if count >= 1000 else 1
+    parts = max(1, min(MOST_PARTITIONS, round(2 * count ** (1 / 3))))
     router = fit(np.array([x.e for x in taken], np.float64), parts, nearest=nearest)
     dim = len(taken[0].e) if taken else 0
 
-    @F.pandas_udf("array<int>")
-    def probed(values: pd.Series) -> pd.Series:
-        return pd.Series(list(router.probed(_matrix(values)).astype(np.int32)))
-
     @F.pandas_udf("int")
     def home(values: pd.Series) -> pd.Series:
         return pd.Series(router.home(_matrix(values)).astype(np.int32))
 
     with staging.batches(4096):
         placed = staging.write(rows.withColumn("part", home("e")), "placed")
-        asked = staging.write(
-            rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("probed", probed("e")).select("vec_id", "e", F.explode("probed").alias("part")),
-            "asked",
-        )
-    chunks = {part: [1, 1] for part in range(router.parts)}
-    for side, (name, table) in enumerate((("v", placed), ("q", asked))):
-        for x in table.groupBy("part").count().collect():
-            chunks[x.part][side] = -(-x["count"] // CHUNKS[name])
+    held = np.zeros(router.parts, np.int64)
+    for x in placed.groupBy("part").count().collect():
+        held[x.part] = x["count"]
+
+    @F.pandas_udf("array<int>")
+    def probed(values: pd.Series) -> pd.Series:
+        return pd.Series(router.probed(_matrix(values), held, nearest + 1))
+
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
+    with staging.batches(4096):
+        asked = staging.write(queries.withColumn("probed", probed("e")).select("vec_id", "row", "e", F.explode("probed").alias("part")), "asked")
+    chunks = {part: [max(1, -(-int(n) // CHUNKS["v"])), 1] for part, n in enumerate(held)}
+    for x in asked.groupBy("part").count().collect():
+        chunks[x.part][1] = -(-x["count"] // CHUNKS["q"])
     sizes = F.broadcast(spark.createDataFrame([(p, a, b) for p, (a, b) in chunks.items()], "part int, v_chunks int, q_chunks int"))
 
     def spread(table: DataFrame, own: str, other: str) -> DataFrame:
-        chunk = F.pmod(F.xxhash64("vec_id"), F.col(f"{own}_chunks")).cast("int").alias(f"{own}_chunk")
+        chunk = F.pmod(F.xxhash64("row"), F.col(f"{own}_chunks")).cast("int").alias(f"{own}_chunk")
         others = F.explode(F.sequence(F.lit(0), F.col(f"{other}_chunks") - 1)).alias(f"{other}_chunk")
-        return table.join(sizes, "part").select("part", "vec_id", "e", chunk, others).groupBy("part", "v_chunk", "q_chunk")
+        return table.join(sizes, "part").select("part", "vec_id", "row", "e", chunk, others).groupBy("part", "v_chunk", "q_chunk")
 
     def compare(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(v) and len(q):
             mine, theirs = (_matrix(x["e"]).reshape(-1, dim) for x in (q, v))
-            found = nearest_in_block(q["vec_id"].to_numpy(np.int64), mine, v["vec_id"].to_numpy(np.int64), theirs, nearest)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+            own, ids, other = (x.to_numpy(np.int64) for x in (q["row"], v["vec_id"], v["row"]))
+            found = nearest_in_block(own, mine, other, ids, theirs, nearest)
+        return pd.DataFrame(found, columns=["query_row", "vec_id", "score"])
 
-    near = spread(placed, "v", "q").cogroup(spread(asked, "q", "v")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = spread(placed, "v", "q").cogroup(spread(asked, "q", "v")).applyInPandas(compare, "query_row long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    names = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    return ranked.join(names, "query_row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _matrix(values: pd.Series) -> np.ndarray:

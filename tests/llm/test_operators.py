@@ -47,11 +47,43 @@ def test_near(docs, rows):
     assert len(found) == len(rows)
     prints = {key(i): brute(t) for i, t in rows if len(t or "") < 20000}
     assert all(prints.get(key(x.doc_id), x.fp % 2**64) == x.fp % 2**64 for x in found)
-    values = [x.fp % 2**64 for x in found]
-    for a, x in zip(values, found, strict=True):
-        for b, y in zip(values, found, strict=True):
-            if (a ^ b).bit_count() <= 2:
-                assert x.component_id == y.component_id
+    points = sorted({x.fp % 2**64 for x in found})
+    root = {p: p for p in points}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for k, p in enumerate(points):
+        for q in points[k + 1 :]:
+            if (p ^ q).bit_count() <= 2:
+                root[top(p)] = top(q)
+    smallest = {}
+    for x in found:
+        group = top(x.fp % 2**64)
+        smallest[group] = min(smallest.get(group, 2**63), 2**63 if x.doc_id is None else x.doc_id)
+    # The smallest id of the group, and so another one than that of any row it is not linked to.
+    assert all(x.component_id == smallest[top(x.fp % 2**64)] for x in found if smallest[top(x.fp % 2**64)] < 2**63)
+
+
+def test_near_dedup_links_within_two_bits_only(spark, monkeypatch):
+    base = " ".join(f"word{k}" for k in range(300))
+    rng = np.random.default_rng(2)
+    texts = [base, base, base + " one", base.replace("word150", "other"), *(" ".join(rng.choice(base.split(), 60)) for _ in range(300)), None, "", " "]
+    docs = spark.createDataFrame([(100 + k, t) for k, t in enumerate(texts)] + [(None, base)] * 500, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(near_dedup, "SHARD_ROWS", 16)
+    for blocks in (1, 2, 3):
+        got = {x.doc_id: x for x in near_dedup.near_groups(docs, blocks=blocks).collect()}
+        assert docs.count() == 807 and got[100].component_id == got[101].component_id == got[None].component_id == 100
+        assert got[404].component_id == got[405].component_id == got[406].component_id and got[404].fp == 0
+        want = {}
+        for i, x in got.items():
+            near = [j for j, y in got.items() if j is not None and (x.fp % 2**64 ^ y.fp % 2**64).bit_count() <= 2]
+            want[i] = min(near)
+        for i, x in got.items():
+            assert x.component_id == want[x.component_id] and x.component_id <= want[i]
+            assert x.component_id == want[i] or len({want[j] for j, y in got.items() if y.component_id == x.component_id}) > 1
 
 
 def test_near_keeps_one_of_each_group_by_text(spark):
@@ -67,9 +99,13 @@ def test_near_keeps_one_of_each_group_by_text(spark):
 
 
 @pytest.mark.parametrize("blocks", [1, 2, 3])
-def test_vantage_trees(blocks):
+@pytest.mark.parametrize("equal_in_a_block", [False, True])
+def test_vantage_trees(blocks, equal_in_a_block):
     rng = np.random.default_rng(blocks)
     base = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    if equal_in_a_block:
+        base &= ~np.uint64(near_dedup._masks(blocks)[0]) if blocks > 1 else ~np.uint64(2**32 - 1)
+        base = np.concatenate([base, base[:600] ^ (np.uint64(1) << rng.integers(40, 60, 600).astype(np.uint64))])
     points = np.unique(np.concatenate([base, base[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)), base[:80] ^ np.uint64(3)]))
     radius, linked = 2 // blocks, set()
     for mask in near_dedup._masks(blocks):
@@ -264,6 +300,34 @@ def test_ann(spark):
     assert np.mean([x.vec_id in want[x.query_id] for x in found]) >= 0.9
 
 
+def test_ann_prunes_where_vectors_have_structure(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32))
+    vectors = centres[rng.integers(0, 60, 4000)] + 0.35 * rng.normal(size=(4000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    router = ann.fit(vectors, 32)
+    assert router.probes < 8
+    held = np.bincount(router.home(vectors), minlength=32)
+    assert held.max() <= 2.5 * held.mean()
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = ann.search(df, every=40).collect()
+    want = {q: set(np.argsort(-(vectors @ vectors[q] - 1e9 * (np.arange(4000) == q)))[:20]) for q in range(0, 4000, 40)}
+    assert len(found) == 2000 and np.mean([x.vec_id in want[x.query_id] for x in found]) >= 0.9
+
+
+def test_ann_of_repeated_ids_and_ties(spark):
+    data = [(20, [1.0, 0.0]), (20, [0.0, 2.0]), (7, [1.0, 1.0]), (5, [1.0, 1.0]), (41, [3.0, -1.0]), (8, [1.0])]
+    found = ann.search(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in found)
+    assert got == sorted([(20, 1, 41, 3.0), (20, 2, 5, 1.0), (20, 3, 7, 1.0), (20, 4, 20, 0.0), (20, 1, 5, 2.0), (20, 2, 7, 2.0), (20, 3, 20, 0.0), (20, 4, 41, -2.0)])
+
+
+def test_ann_widens_the_probe():
+    router = ann.Router(4, 1, (np.eye(4, dtype=np.float32), np.zeros(4, np.float32), np.eye(4, dtype=np.float32), np.zeros(4, np.float32)))
+    asked = np.array([[4.0, 3, 2, 1], [1, 2, 3, 4]])
+    assert [x.tolist() for x in router.probed(asked, np.array([2, 3, 30, 25]), 21)] == [[0, 1, 2], [3]]
+
+
 def test_empty(spark, docs, labels):
     none = docs.limit(0)
     marks = labels.select("doc_id", F.col("quality").alias("label")).limit(0)
