@@ -1,4 +1,4 @@
-"""Dedup of fuzzy lines: SimHash, pigeonhole blocks, edit similarity, connected groups."""
+"""Dedup of fuzzy lines: SimHash, pigeonhole blocks and least shingles, edit similarity, connected groups."""
 
 from __future__ import annotations
 
@@ -11,15 +11,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.bytehash import word_hashes
+from chronoweave.llm.bytehash import mix, word_hashes
 from chronoweave.llm.components import connected_components
 from chronoweave.llm.staging import Staging
 
-RADIUS = 3
-BLOCKS = 5
+#: Lines whose fingerprints differ in RADIUS bits or fewer always meet; those that meet are compared up to NEAR bits.
+RADIUS = 2
+BLOCKS = 4
+NEAR = 14
+#: Besides, lines meet that share the least of their word shingles by one of so many orders.
+ORDERS = 3
+WORDS = 3
 SIMILARITY = 0.9
 CHUNK = 1024
 _BITMAP_BITS = 22
+_CHARS = 1 << 19
 _GROUP = ["key", "table_no", "one", "two"]
 _EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 _SINGLE = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
@@ -32,10 +38,15 @@ def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def fingerprints(plain: list[str]) -> np.ndarray:
-    """The SimHash of the distinct words of each normalised line, signed. No line may be empty."""
+def fingerprints(plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The SimHash of the distinct words of each normalised line, signed, and its least shingle by each order. No line may be empty.
+
+    A shingle has three words; a line of fewer is one shingle.
+    """
     hashes, first = word_hashes("\n".join(plain).encode())
-    line = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
+    counts = np.diff(np.append(first, len(hashes)))
+    least = _least_shingles(hashes, first, counts)
+    line = np.repeat(np.arange(len(first)), counts)
     order = np.lexsort((hashes, line))
     hashes, line = hashes[order], line[order]
     new = np.append(True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))
@@ -43,7 +54,24 @@ def fingerprints(plain: list[str]) -> np.ndarray:
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
     counts = np.diff(np.append(first, len(hashes)))
-    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.int64)[:, 0], least
+
+
+def _least_shingles(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(ORDERS, lines): the least hash of the shingles of each line by each order, signed."""
+    held = np.append(hashes, np.zeros(WORDS - 1, np.uint64))
+    at = np.arange(len(hashes)) - np.repeat(first, counts)
+    left = np.repeat(counts, counts) - at
+    joined = np.zeros(len(hashes), np.uint64)
+    for k in range(WORDS):
+        own = held[k : k + len(hashes)] * np.uint64(2 * k + 3)
+        joined = mix(joined + np.where(left > k, own, np.uint64(k)))
+    whole = (left >= WORDS) | (at == 0)
+    out = []
+    for k in range(ORDERS):
+        ranked = np.where(whole, mix(joined ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)), np.uint64(2**64 - 1))
+        out.append(np.minimum.reduceat(ranked, first).view(np.int64))
+    return np.array(out)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -82,26 +110,90 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
 
 
+class Line:
+    """A line with what bounds its edit distance to others."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, text.split(" ")
+        self.grams = {text[k : k + 3] for k in range(len(text) - 2)}
+
+    def similar(self, other: Line, least: float) -> bool:
+        """As ``similar``; the distance itself is computed only where bounds leave it open.
+
+        An edit changes three grams at most, and an alignment of the words costs no less than the best.
+        """
+        allowed = int((1 - least) * max(len(self.text), len(other.text)) + 1e-9)
+        if abs(len(self.text) - len(other.text)) > allowed:
+            return False
+        shared = len(self.grams & other.grams)
+        if max(len(self.grams), len(other.grams)) - shared > 3 * allowed:
+            return False
+        return aligned_cost(self.words, other.words, allowed) <= allowed or edit_distance(self.text, other.text) <= allowed
+
+
+def aligned_cost(a: list[str], b: list[str], enough: int, ahead: int = 3) -> int:
+    """The cost of turning words ``a`` into ``b`` where equal words are met again within ``ahead`` words; beyond ``enough`` if not."""
+    i = j = cost = 0
+    while cost <= enough:
+        while i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        if i == len(a) or j == len(b):
+            rest = a[i:] or b[j:]
+            return cost + sum(map(len, rest)) + len(rest)
+        for p, q in _STEPS:
+            if i + p < len(a) and j + q < len(b) and p <= ahead and q <= ahead and a[i + p] == b[j + q]:
+                break
+        else:
+            p, q = len(a) - i, len(b) - j
+            if max(p, q) > 2 * ahead:
+                return enough + 1
+        one, other = a[i : i + p], b[j : j + q]
+        cost += edit_distance(" ".join(one), " ".join(other)) if p and q else sum(map(len, one + other)) + p + q
+        i, j = i + p, j + q
+    return cost
+
+
+_STEPS = sorted(((p, q) for p in range(4) for q in range(4) if p + q), key=lambda x: (x[0] + x[1], abs(x[0] - x[1])))
+
+
 def _first_table(differences: np.ndarray) -> np.ndarray:
     """The first mask in which two fingerprints agree, by their differing bits; so each pair has one table."""
     return ((differences[..., None] & MASKS) == 0).argmax(axis=-1)
 
 
+def _meant(differ: np.ndarray, table: np.ndarray | int) -> np.ndarray:
+    """Which pairs are compared in a table: near ones, at the first mask they agree in; else wherever their shingles meet."""
+    agree = ((differ[..., None] & MASKS) == 0).any(axis=-1)
+    return (np.bitwise_count(differ) <= NEAR) & np.where(agree, _first_table(differ) == table, table >= len(MASKS))
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, digest, fp): each line of ``docs(doc_id, text)`` that isn't blank, normalised."""
+    """(doc_id, line_no, digest, fp, least): each line of ``docs(doc_id, text)`` that isn't blank, normalised."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            held, size = [], 0
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                plain = [(number, line) for number, line in enumerate(map(normalise, (text or "").split("\n"))) if line]
-                if plain:
-                    marks = fingerprints([line for _, line in plain]).tolist()
-                    out += [(doc_id, number, hashlib.md5(line.encode()).digest(), fp) for (number, line), fp in zip(plain, marks, strict=True)]
-            yield pd.DataFrame(out, columns=["doc_id", "line_no", "digest", "fp"])
-
-    return docs.select("doc_id", "text").mapInPandas(split, f"doc_id {kind}, line_no int, digest binary, fp long")
+                own = [(doc_id, number, line) for number, line in enumerate(map(normalise, (text or "").split("\n"))) if line]
+                held += own
+                size += len(text or "")
+                if size >= _CHARS:  # features of many lines are made at once
+                    yield made(held)
+                    held, size = [], 0
+            yield made(held)
+
+    def made(held: list[tuple]) -> pd.DataFrame:
+        if not held:
+            return pd.DataFrame([], columns=["doc_id", "line_no", "digest", "fp", *shingles])
+        ids, numbers, plain = zip(*held, strict=True)
+        marks, least = fingerprints(list(plain))
+        digests = [hashlib.md5(line.encode()).digest() for line in plain]
+        return pd.DataFrame({"doc_id": list(ids), "line_no": np.array(numbers, np.int32), "digest": digests, "fp": marks} | dict(zip(shingles, least, strict=True)))
+
+    shingles = [f"least_{k}" for k in range(ORDERS)]
+    found = f"doc_id {kind}, line_no int, digest binary, fp long, {', '.join(f'{x} long' for x in shingles)}"
+    return docs.select("doc_id", "text").mapInPandas(split, found)
 
 
 def _active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,8 +210,8 @@ def _active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = np.flatnonzero(key[:-1] == key[1:])
         while len(at):
             differ = fp[at] ^ fp[at + d]
-            hit = at[(np.bitwise_count(differ) <= RADIUS) & (table[at] == table[at + d])]
-            hit = hit[_first_table(fp[hit] ^ fp[hit + d]) == table[hit]]
+            hit = at[(np.bitwise_count(differ) <= NEAR) & (table[at] == table[at + d])]
+            hit = hit[_meant(fp[hit] ^ fp[hit + d], table[hit])]
             near[hit] = near[hit + d] = True
             d += 1
             at = at[at + d < len(key)]
@@ -171,6 +263,13 @@ def verify(table: int, names: np.ndarray, fp: np.ndarray, texts: list[str], leas
     """Edges, without cycles, of the lines of one group that are near by this table and similar."""
     names, at = np.unique(names, return_index=True)
     fp, texts = fp[at].view(np.uint64), [texts[k] for k in at]
+    met: dict[int, Line] = {}
+
+    def line(i: int) -> Line:
+        if i not in met:
+            met[i] = Line(texts[i])
+        return met[i]
+
     root, edges = list(range(len(names))), []
 
     def find(i: int) -> int:
@@ -181,11 +280,11 @@ def verify(table: int, names: np.ndarray, fp: np.ndarray, texts: list[str], leas
 
     for i in range(len(names) - 1):
         differ = fp[i] ^ fp[i + 1 :]
-        near = np.flatnonzero(np.bitwise_count(differ) <= RADIUS)
-        near = near[_first_table(differ[near]) == table] + i + 1
+        near = np.flatnonzero(np.bitwise_count(differ) <= NEAR)
+        near = near[_meant(differ[near], table)] + i + 1
         for j in near.tolist():
             a, b = find(i), find(j)
-            if a != b and similar(texts[i], texts[j], least):
+            if a != b and line(i).similar(line(j), least):
                 root[max(a, b)] = min(a, b)
                 edges.append((int(names[i]), int(names[j])))
     return edges
@@ -242,19 +341,23 @@ class IdFilter:
 def line_groups(docs: DataFrame, staging: Staging, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The lines of ``docs`` as ``lines`` gives them, and (digest, first, count, root) of each distinct one.
 
-    root tells the connected group: lines whose fingerprints differ in 3 bits or fewer and whose edit
-    similarity is ``least`` or more are linked. first is the (null, doc_id, line_no) it occurs at first.
+    root tells the connected group. Lines are linked whose edit similarity is ``least`` or more, whose
+    fingerprints differ in NEAR bits or fewer, and that agree in some blocks of them (always, if they
+    differ in RADIUS bits or fewer) or share a least shingle. first is the (null, doc_id, line_no) it
+    occurs at first.
     """
     found = staging.write(lines(docs), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "line_no")
+    shingles = [f"least_{k}" for k in range(ORDERS)]
     distinct = staging.write(
-        found.groupBy("digest").agg(F.min("fp").alias("fp"), F.min(place).alias("first"), F.count("*").alias("count"))
+        found.groupBy("digest").agg(*[F.min(x).alias(x) for x in ("fp", *shingles)], F.min(place).alias("first"), F.count("*").alias("count"))
         .withColumn("line", F.monotonically_increasing_id()),
         "distinct",
     )
+    blocks = [F.col("fp").bitwiseAND(int(mask.astype(np.int64))) for mask in MASKS]
     tables = F.explode(F.array(*[
-        F.struct(F.lit(k).cast("long").alias("table_no"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(int(mask.astype(np.int64)))).alias("key"))
-        for k, mask in enumerate(MASKS)
+        F.struct(F.lit(k).cast("long").alias("table_no"), F.xxhash64(F.lit(k), value).alias("key"))
+        for k, value in enumerate([*blocks, *map(F.col, shingles)])
     ])).alias("t")
     keyed = distinct.select("line", "fp", tables).select("t.key", "t.table_no", "line", "fp")
     with staging.batches(65536):
@@ -308,6 +411,7 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     staging = Staging(docs.sparkSession, "lines")
     found, named = line_groups(docs, staging, least)
+    found = found.select("doc_id", "line_no", "digest")
     named = staging.write(named, "named")
     groups = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("count").alias("size")).where("size > 1")
     losing = named.join(groups, "root").select("digest", "stays")
