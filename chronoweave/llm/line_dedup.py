@@ -26,6 +26,7 @@ SIMILARITY = 0.9
 CHUNK = 1024
 _BITMAP_BITS = 22
 _CHARS = 1 << 19
+_LINES = 1 << 16
 _GROUP = ["key", "table_no", "one", "two"]
 _EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 _SINGLE = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
@@ -47,14 +48,32 @@ def fingerprints(plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.append(first, len(hashes)))
     least = _least_shingles(hashes, first, counts)
     line = np.repeat(np.arange(len(first)), counts)
-    order = np.lexsort((hashes, line))
+    # Lines in order, and in each the leading 40 bits of its words: one sort of whole numbers.
+    order = np.argsort(line.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24))
     hashes, line = hashes[order], line[order]
     new = np.append(True, (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1]))
     hashes, first = hashes[new], np.searchsorted(line[new], np.arange(len(first)))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
     counts = np.diff(np.append(first, len(hashes)))
-    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.int64)[:, 0], least
+    ones = _bit_counts(hashes, first, counts)
+    return np.packbits(2 * ones.astype(np.int32) > counts[:, None], axis=1, bitorder="little").view(np.int64)[:, 0], least
+
+
+def _bit_counts(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(lines, 64): how many hashes of each line have each bit.
+
+    Eight bits are counted at once, in the bytes of one number, over at most 255 hashes.
+    """
+    parts = -(-counts // 255)
+    part_of = np.repeat(np.arange(len(first)), parts)
+    begins = np.cumsum(parts) - parts
+    starts = first[part_of] + 255 * (np.arange(len(part_of)) - begins[part_of])
+    lanes = np.add.reduceat(_LANES[hashes.view(np.uint8).reshape(-1, 8)], starts, axis=0)
+    ones = lanes.view(np.uint8).reshape(-1, 64)
+    return ones if len(ones) == len(first) else np.add.reduceat(ones, begins, axis=0, dtype=np.int32)
+
+
+#: Each byte with its bits as eight bytes of 0 or 1.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
 def _least_shingles(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -179,7 +198,8 @@ def lines(docs: DataFrame) -> DataFrame:
                 held += own
                 size += len(text or "")
                 if size >= _CHARS:  # features of many lines are made at once
-                    yield made(held)
+                    for k in range(0, len(held), _LINES):
+                        yield made(held[k : k + _LINES])
                     held, size = [], 0
             yield made(held)
 
