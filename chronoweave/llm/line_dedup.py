@@ -28,6 +28,7 @@ _BITMAP_BITS = 22
 _CHARS = 1 << 19
 _LINES = 1 << 16
 _GROUP = ["key", "table_no", "one", "two"]
+_SHINGLES = [f"least_{k}" for k in range(ORDERS)]
 _EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
 _SINGLE = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
 #: Two fingerprints with at most RADIUS differing bits agree in BLOCKS - RADIUS blocks at least.
@@ -205,14 +206,13 @@ def lines(docs: DataFrame) -> DataFrame:
 
     def made(held: list[tuple]) -> pd.DataFrame:
         if not held:
-            return pd.DataFrame([], columns=["doc_id", "line_no", "digest", "fp", *shingles])
+            return pd.DataFrame([], columns=["doc_id", "line_no", "digest", "fp", *_SHINGLES])
         ids, numbers, plain = zip(*held, strict=True)
         marks, least = fingerprints(list(plain))
         digests = [hashlib.md5(line.encode()).digest() for line in plain]
-        return pd.DataFrame({"doc_id": list(ids), "line_no": np.array(numbers, np.int32), "digest": digests, "fp": marks} | dict(zip(shingles, least, strict=True)))
+        return pd.DataFrame({"doc_id": list(ids), "line_no": np.array(numbers, np.int32), "digest": digests, "fp": marks} | dict(zip(_SHINGLES, least, strict=True)))
 
-    shingles = [f"least_{k}" for k in range(ORDERS)]
-    found = f"doc_id {kind}, line_no int, digest binary, fp long, {', '.join(f'{x} long' for x in shingles)}"
+    found = f"doc_id {kind}, line_no int, digest binary, fp long, {', '.join(f'{x} long' for x in _SHINGLES)}"
     return docs.select("doc_id", "text").mapInPandas(split, found)
 
 
@@ -279,10 +279,16 @@ def _frame(rows: np.ndarray, chunk: np.ndarray | int) -> pd.DataFrame:
     return out
 
 
-def verify(table: int, names: np.ndarray, fp: np.ndarray, texts: list[str], least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Edges, without cycles, of the lines of one group that are near by this table and similar."""
-    names, at = np.unique(names, return_index=True)
-    fp, texts = fp[at].view(np.uint64), [texts[k] for k in at]
+def verify(
+    table: int, names: np.ndarray, fp: np.ndarray, texts: list[str], shingles: np.ndarray, chunk: np.ndarray, least: float = SIMILARITY
+) -> list[tuple[int, int]]:
+    """Edges, without cycles, of the lines of one group that are near by this table and similar.
+
+    Where a group holds two chunks of a bucket, lines of one are compared with those of the other. Lines
+    that share an earlier one of ``shingles`` (orders, lines) meet by that.
+    """
+    order = np.lexsort((names, chunk))
+    names, fp, texts, shingles = names[order], fp[order].view(np.uint64), [texts[k] for k in order], shingles[:, order]
     met: dict[int, Line] = {}
 
     def line(i: int) -> Line:
@@ -290,22 +296,19 @@ def verify(table: int, names: np.ndarray, fp: np.ndarray, texts: list[str], leas
             met[i] = Line(texts[i])
         return met[i]
 
-    root, edges = list(range(len(names))), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in range(len(names) - 1):
-        differ = fp[i] ^ fp[i + 1 :]
-        near = np.flatnonzero(np.bitwise_count(differ) <= NEAR)
-        near = near[_meant(differ[near], table)] + i + 1
+    group, edges = np.arange(len(names)), []
+    split = int((chunk == chunk.min()).sum())
+    two = split < len(names)
+    for i in range(split if two else len(names) - 1):
+        start = split if two else i + 1
+        differ = fp[i] ^ fp[start:]
+        near = np.flatnonzero((np.bitwise_count(differ) <= NEAR) & (group[start:] != group[i]))
+        near = near[_meant(differ[near], table)] + start
+        for k in range(table - len(MASKS)):
+            near = near[shingles[k, near] != shingles[k, i]]
         for j in near.tolist():
-            a, b = find(i), find(j)
-            if a != b and line(i).similar(line(j), least):
-                root[max(a, b)] = min(a, b)
+            if group[i] != group[j] and line(i).similar(line(j), least):
+                group[group == group[j]] = group[i]
                 edges.append((int(names[i]), int(names[j])))
     return edges
 
@@ -314,10 +317,11 @@ def _verified(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.Data
     """Edges of all groups of rows sorted by group; a group has at most two chunks of lines."""
 
     def settle(rows: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
-        table, names, fp = (rows[c].to_numpy(np.int64) for c in ("table_no", "line", "fp"))
-        texts, edges = rows["plain"].to_list(), []
+        table, names, fp, chunk, *shingles = (rows[c].to_numpy(np.int64) for c in ("table_no", "line", "fp", "chunk", *_SHINGLES))
+        texts, edges, held = rows["plain"].to_list(), [], np.array(shingles)
         for a, b in zip(bounds, bounds[1:], strict=False):
-            edges += verify(int(table[a]), names[a:b], fp[a:b], texts[a:b], least)
+            if b > a:
+                edges += verify(int(table[a]), names[a:b], fp[a:b], texts[a:b], held[:, a:b], chunk[a:b], least)
         return pd.DataFrame(edges, columns=["a", "b"])
 
     held = None
@@ -368,16 +372,15 @@ def line_groups(docs: DataFrame, staging: Staging, least: float = SIMILARITY) ->
     """
     found = staging.write(lines(docs), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "line_no")
-    shingles = [f"least_{k}" for k in range(ORDERS)]
     distinct = staging.write(
-        found.groupBy("digest").agg(*[F.min(x).alias(x) for x in ("fp", *shingles)], F.min(place).alias("first"), F.count("*").alias("count"))
+        found.groupBy("digest").agg(*[F.min(x).alias(x) for x in ("fp", *_SHINGLES)], F.min(place).alias("first"), F.count("*").alias("count"))
         .withColumn("line", F.monotonically_increasing_id()),
         "distinct",
     )
     blocks = [F.col("fp").bitwiseAND(int(mask.astype(np.int64))) for mask in MASKS]
     tables = F.explode(F.array(*[
         F.struct(F.lit(k).cast("long").alias("table_no"), F.xxhash64(F.lit(k), value).alias("key"))
-        for k, value in enumerate([*blocks, *map(F.col, shingles)])
+        for k, value in enumerate([*blocks, *map(F.col, _SHINGLES)])
     ])).alias("t")
     keyed = distinct.select("line", "fp", tables).select("t.key", "t.table_no", "line", "fp")
     with staging.batches(65536):
@@ -385,13 +388,13 @@ def line_groups(docs: DataFrame, staging: Staging, least: float = SIMILARITY) ->
             keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_active, "key long, table_no long, line long, fp long, chunk long"),
             "active",
         )
-    texts = staging.write(_texts(docs, active.select("line").distinct().join(distinct, "line").select("line", "digest", "first")), "texts")
-    whole = active.where("chunk < 0").select("key", "table_no", "line", "fp", F.lit(0).alias("one"), F.lit(0).alias("two"))
+    texts = staging.write(_texts(docs, active.select("line").distinct().join(distinct, "line").select("line", "digest", "first", *_SHINGLES)), "texts")
+    whole = active.where("chunk < 0").select("key", "table_no", "line", "fp", "chunk", F.lit(0).alias("one"), F.lit(0).alias("two"))
     long = active.where("chunk >= 0")
     chunks = long.groupBy("key").agg(F.max("chunk").alias("most"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("most"))).alias("other")
     halves = long.join(chunks, "key").select("key", "table_no", "line", "fp", "chunk", other).select(
-        "key", "table_no", "line", "fp", F.least("chunk", "other").cast("int").alias("one"), F.greatest("chunk", "other").cast("int").alias("two")
+        "key", "table_no", "line", "fp", "chunk", F.least("chunk", "other").cast("int").alias("one"), F.greatest("chunk", "other").cast("int").alias("two")
     )
     rows = whole.unionByName(halves).join(texts, "line").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
     edges = rows.mapInPandas(lambda batches: _verified(batches, least), "a long, b long")
@@ -401,9 +404,9 @@ def line_groups(docs: DataFrame, staging: Staging, least: float = SIMILARITY) ->
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, plain) for each of ``wanted(line, digest, first)``, read from the document where it occurs first."""
+    """(line, plain, least) for each of ``wanted(line, digest, first, least)``, read from the document where it occurs first."""
     by_doc = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
-        F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "digest", "line")).alias("wanted")
+        F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "digest", "line", *_SHINGLES)).alias("wanted")
     )
     own = docs.select("doc_id", "text").where(IdFilter(by_doc).may_have(F.col("doc_id")))
     met = own.join(by_doc.withColumnRenamed("doc_id", "own_id"), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("text", "wanted")
@@ -416,10 +419,10 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for x in some:
                     plain = normalise(parts[x["line_no"]]) if x["line_no"] < len(parts) else ""
                     if hashlib.md5(plain.encode()).digest() == bytes(x["digest"]):
-                        out.append((x["line"], plain))
-            yield pd.DataFrame(out, columns=["line", "plain"])
+                        out.append((x["line"], plain, *(x[c] for c in _SHINGLES)))
+            yield pd.DataFrame(out, columns=["line", "plain", *_SHINGLES])
 
-    return met.mapInPandas(pick, "line long, plain string").dropDuplicates(["line"])
+    return met.mapInPandas(pick, f"line long, plain string, {', '.join(f'{x} long' for x in _SHINGLES)}").dropDuplicates(["line"])
 
 
 def dedup_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
