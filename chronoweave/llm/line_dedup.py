@@ -94,8 +94,12 @@ def _least_shingles(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -
     return np.array(out)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, bit-parallel (Myers 1999, Hyyro 2003), after what both ends share is cut off."""
+def edit_distance(a: str, b: str, enough: int | None = None) -> int:
+    """Levenshtein distance, bit-parallel (Myers 1999, Hyyro 2003), after what both ends share is cut off.
+
+    With ``enough`` any number beyond it may stand for a larger distance: neighbours in a column of distances
+    differ by one at most, so that no path ends below what its last diagonal has reached.
+    """
     start, most = 0, min(len(a), len(b))
     while start < most and a[start] == b[start]:
         start += 1
@@ -109,8 +113,13 @@ def edit_distance(a: str, b: str) -> int:
     for k, char in enumerate(a):
         where[char] = where.get(char, 0) | 1 << k
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, distance = full, 0, len(a)
-    for char in b:
+    up, down, distance, ahead = full, 0, len(a), len(a) - len(b)
+    for step, char in enumerate(b):
+        if enough is not None and step & 7 == 0 and 0 < step + ahead:
+            above = (1 << step + ahead) - 1
+            reached = step + (up & above).bit_count() - (down & above).bit_count()
+            if reached > enough:
+                return reached
         match = where.get(char, 0)
         diagonal = (((match & up) + up) ^ up) | match | down
         right = down | ~(diagonal | up)
@@ -127,28 +136,21 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether the edit distance is at most the share 1 - ``least`` of the longer line."""
     longer = max(len(a), len(b))
     allowed = int((1 - least) * longer + 1e-9)
-    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
+    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b, allowed) <= allowed
 
 
 class Line:
-    """A line with what bounds its edit distance to others."""
+    """A line and its words."""
 
     def __init__(self, text: str):
         self.text, self.words = text, text.split(" ")
-        self.grams = {text[k : k + 3] for k in range(len(text) - 2)}
 
     def similar(self, other: Line, least: float) -> bool:
-        """As ``similar``; the distance itself is computed only where bounds leave it open.
-
-        An edit changes three grams at most, and an alignment of the words costs no less than the best.
-        """
+        """As ``similar``; an alignment of the words, which costs no less than the best, is tried first."""
         allowed = int((1 - least) * max(len(self.text), len(other.text)) + 1e-9)
         if abs(len(self.text) - len(other.text)) > allowed:
             return False
-        shared = len(self.grams & other.grams)
-        if max(len(self.grams), len(other.grams)) - shared > 3 * allowed:
-            return False
-        return aligned_cost(self.words, other.words, allowed) <= allowed or edit_distance(self.text, other.text) <= allowed
+        return aligned_cost(self.words, other.words, allowed) <= allowed or edit_distance(self.text, other.text, allowed) <= allowed
 
 
 def aligned_cost(a: list[str], b: list[str], enough: int, ahead: int = 3) -> int:
@@ -297,6 +299,7 @@ def verify(
         return met[i]
 
     group, edges = np.arange(len(names)), []
+    sizes = np.array([len(x) for x in texts])
     split = int((chunk == chunk.min()).sum())
     two = split < len(names)
     for i in range(split if two else len(names) - 1):
@@ -304,6 +307,7 @@ def verify(
         differ = fp[i] ^ fp[start:]
         near = np.flatnonzero((np.bitwise_count(differ) <= NEAR) & (group[start:] != group[i]))
         near = near[_meant(differ[near], table)] + start
+        near = near[np.abs(sizes[near] - sizes[i]) <= (1 - least) * np.maximum(sizes[near], sizes[i]) + 1e-9]
         for k in range(table - len(MASKS)):
             near = near[shingles[k, near] != shingles[k, i]]
         for j in near.tolist():
