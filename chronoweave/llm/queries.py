@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import ann, bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, quality, sharding, toxicity
+from chronoweave.llm import alignment, ann, bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +67,13 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    files = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    return alignment.alignment_counts(table(spark, folder, "documents"), *files, public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
+    "op12_alignment": op12_alignment,
     "pipeline": pipeline,
 }
 
