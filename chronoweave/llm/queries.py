@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import alignment, ann, bpe, exact_dedup, language_id, line_dedup, near_dedup, packing, quality, sharding, toxicity
+from chronoweave.llm import alignment, ann, bpe, conversation_repair, exact_dedup, language_id, line_dedup, near_dedup, odd_sketch, packing, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damage(table(spark, folder, "conversations")))
+
+
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +78,10 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.alignment_counts(table(spark, folder, "documents"), *files, public_tokenizers.PATTERN)
 
 
+def op13_odd_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    return odd_sketch.near_duplicates(table(spark, folder, "documents"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,7 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_alignment": op12_alignment,
+    "op13_odd_sketch": op13_odd_sketch,
     "pipeline": pipeline,
 }
 
@@ -108,5 +118,73 @@ FROM (
          count(*) OVER (PARTITION BY plain) AS group_size
   FROM rows
 )
+""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE
+told AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name
+  FROM conversations
+),
+parts AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(
+           list_concat([4294967295::BIGINT], flatten(list_transform(string_split(name, ''), lambda c: list_concat([ord(c)::BIGINT], [-1::BIGINT, -1, -1, -1, -1, -1, -1, -1])))),
+           lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc // 2, 3988292384::BIGINT) ELSE crc // 2 END
+         ), 4294967295::BIGINT) % 20 AS part
+  FROM told
+),
+hurt AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, CASE WHEN part = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN part = 1 THEN '' WHEN part = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, part
+  FROM parts
+),
+rows AS (
+  SELECT c, turn, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM (SELECT *, unnest(range(CASE part WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM hurt)
+),
+coded AS (
+  SELECT c, turn, role, text, place, left(role, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY place) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault
+  FROM rows
+),
+inserted(state, after, letters, lines) AS (
+  VALUES (0, 0, '', NULL), (1, 1, '', NULL), (2, 2, '', NULL), (3, 3, '', NULL), (0, 2, 'I', 'user:'), (1, 2, 'I', 'user:'), (2, 3, 'I', 'assistant:'),
+         (3, 2, 'I', 'user:'), (0, 3, 'II', 'user:' || chr(10) || 'assistant:'), (1, 3, 'II', 'user:' || chr(10) || 'assistant:')
+),
+edits(edit, state, initial, role, after, cost) AS (
+  VALUES ('D', 0, NULL, NULL, 0, 3), ('D', 1, NULL, NULL, 1, 3), ('D', 2, NULL, NULL, 2, 3), ('D', 3, NULL, NULL, 3, 3),
+         ('K', 0, 's', NULL, 1, 0), ('K', 0, 'u', NULL, 2, 0), ('K', 1, 'u', NULL, 2, 0), ('K', 3, 'u', NULL, 2, 0), ('K', 2, 'a', NULL, 3, 0),
+         ('R', 0, NULL, 'user', 2, 2), ('R', 1, NULL, 'user', 2, 2), ('R', 2, NULL, 'assistant', 3, 2), ('R', 3, NULL, 'user', 2, 2)
+),
+walk AS (
+  SELECT DISTINCT c, 0::BIGINT AS place, 0 AS state, {'cost': 0, 'audit': '', 'lines': NULL::VARCHAR} AS best FROM hurt
+  UNION ALL
+  SELECT c, place, state, min(best) FROM (
+    SELECT w.c, r.place, e.after AS state, {
+      'cost': w.best.cost + 2 * length(i.letters) + e.cost + CASE WHEN r.fault = 'truncated' AND e.edit <> 'D' THEN 1 ELSE 0 END,
+      'audit': w.best.audit || i.letters || e.edit,
+      'lines': nullif(concat_ws(chr(10), w.best.lines, i.lines, CASE WHEN e.edit <> 'D' THEN coalesce(e.role, r.role) || ':' || r.text END), '')
+    } AS best
+    FROM walk w JOIN coded r ON r.c = w.c AND r.place = w.place + 1 JOIN inserted i ON i.state = w.state JOIN edits e ON e.state = i.after
+    WHERE (e.edit = 'D' OR r.fault NOT IN ('blank', 'duplicate')) AND (e.initial IS NULL OR e.initial = r.initial)
+  ) GROUP BY c, place, state
+),
+ends AS (
+  SELECT w.c, min({'cost': w.best.cost + 2 * length(i.letters), 'audit': w.best.audit || i.letters, 'lines': concat_ws(chr(10), w.best.lines, i.lines)}) AS best
+  FROM walk w JOIN (SELECT h.c, count(r.place) AS n FROM (SELECT DISTINCT c FROM hurt) h LEFT JOIN coded r ON r.c = h.c GROUP BY h.c) s ON s.c = w.c AND s.n = w.place
+  JOIN inserted i ON i.state = w.state WHERE i.after IN (0, 3) GROUP BY w.c
+),
+counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY c ORDER BY place) AS before FROM coded) GROUP BY c
+)
+SELECT h.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, e.best.cost::BIGINT AS cost, e.best.audit AS audit,
+       sha256(e.best.lines) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM hurt) h JOIN ends e USING (c) LEFT JOIN counts USING (c)
 """,
 }
