@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,35 +67,48 @@ class Model:
         return np.concatenate([kernel(presence(texts[k : k + _ROWS]), self.landmarks) @ self.weights for k in range(0, len(texts), _ROWS)])
 
 
-def fit(texts: list[str], languages: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
+def fit(marks: np.ndarray, languages: list[str], landmarks: int = LANDMARKS_PER_LANGUAGE, ridge: float = RIDGE) -> Model:
     """Kernel ridge regression of +1 and -1 for each language on the Nyström features of the landmarks.
 
-    The landmarks are the first texts of each language.
+    ``marks`` has the presence rows of the texts as packed bits. The landmarks are the first of each language.
     """
     names = sorted(set(languages))
     if not names:
         return Model([], np.zeros((0, _WIDTH), np.float32), np.zeros((0, 0)))
-    chosen = [k for name in names for k in [i for i, x in enumerate(languages) if x == name][:landmarks]]
-    marks = presence([texts[k] for k in chosen])
-    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
+    rows = lambda at: np.unpackbits(marks[at], axis=1, count=_WIDTH).astype(np.float32)
+    own = np.array(languages)
+    chosen = np.concatenate([np.flatnonzero(own == name)[:landmarks] for name in names])
+    lands = rows(chosen)
+    values, vectors = np.linalg.eigh(kernel(lands, lands).astype(np.float64))
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
     gram, target = np.zeros((good.sum(), good.sum())), np.zeros((good.sum(), len(names)))
-    wanted = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
-    for k in range(0, len(texts), _ROWS):
-        part = kernel(presence(texts[k : k + _ROWS]), marks) @ whiten
+    wanted = np.where(own[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    for k in range(0, len(marks), _ROWS):
+        part = kernel(rows(slice(k, k + _ROWS)), lands) @ whiten
         gram += part.T @ part
         target += part.T @ wanted[k : k + _ROWS]
-    weights = whiten @ np.linalg.solve(gram + ridge * len(texts) * np.eye(len(gram)), target)
-    return Model(names, marks.astype(np.uint8), weights.astype(np.float32))
+    weights = whiten @ np.linalg.solve(gram + ridge * len(marks) * np.eye(len(gram)), target)
+    return Model(names, lands.astype(np.uint8), weights.astype(np.float32))
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """A model of the text and non-null lang of a bounded sample of ``docs`` outside the held-out fold."""
-    known = docs.select("doc_id", F.col("lang").alias("label"))
-    got = training_rows(docs, known, per_language).toPandas().sort_values(["doc_id", "text"], kind="stable")
-    got = got[got["text"].map(has_letter).astype(bool)]
-    return fit(got["text"].to_list(), got["label"].to_list())
+    """A model of the text and non-null lang of a bounded sample of ``docs`` outside the held-out fold.
+
+    Executors turn the sample's texts into presence rows; only those come to the driver, as packed bits.
+    """
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            some = batch[batch["text"].map(has_letter).astype(bool)]
+            bits = [np.packbits(presence([text])[0].astype(np.uint8)).tobytes() for text in some["text"]]
+            yield pd.DataFrame({"doc_id": some["doc_id"], "label": some["label"], "marks": bits})
+
+    rows = training_rows(docs, docs.select("doc_id", F.col("lang").alias("label")), per_language)
+    kinds = {name: rows.schema[name].dataType.simpleString() for name in ("doc_id", "label")}
+    got = rows.mapInPandas(marked, f"doc_id {kinds['doc_id']}, label {kinds['label']}, marks binary").toPandas().sort_values("doc_id", kind="stable")
+    packed = np.frombuffer(b"".join(map(bytes, got["marks"])), np.uint8).reshape(len(got), -(-_WIDTH // 8))
+    return fit(packed, got["label"].to_list())
 
 
 def has_letter(text: str | None) -> bool:

@@ -31,12 +31,15 @@ def per_label_sample(labelled: DataFrame, per_label: int) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, labelled: DataFrame, per_label: int) -> DataFrame:
-    """Texts and labels of a sample outside the held-out fold.
+    """(doc_id, text, label) of a sample outside the held-out fold, with distinct ids.
 
     ``labelled(doc_id, label)``: where an id has several labels the greatest counts. The sample holds
-    ``per_label`` rows for each label at most, which bounds what is broadcast.
+    ``per_label`` rows for each label at most, which bounds what is broadcast and what is returned: of
+    rows that share an id the text with the least hash counts, so that a hot id gives one row.
     """
     one = labelled.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = per_label_sample(one, per_label)
-    texts = docs.select("doc_id", "text").where(~is_held_out(F.col("doc_id")))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(~is_held_out(F.col("doc_id")))
+    met = texts.join(F.broadcast(chosen), "doc_id")
+    least = met.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("rank"), "text", "label")).alias("row"))
+    return least.select("doc_id", "row.text", "row.label")

@@ -186,12 +186,13 @@ class BlockMaxIndex:
         return float((share @ self.labels[found] + one * self.blank) / (share.sum() + one))
 
     def calibrate(self, per_label: int = CALIBRATED_PER_LABEL) -> None:
-        """Fit the logistic curve from votes to scores on examples, each voted on by all others.
+        """Fit the logistic curve from votes to scores on examples, taken by the hash of their ids, each voted on by all others.
 
         The fit (Platt 1999, with its softened targets) weighs examples as their label's rows in the
         population. It is left out when a label is missing or votes don't rise with the labels.
         """
-        own = np.concatenate([np.flatnonzero(self.labels == y)[:per_label] for y in (0, 1)])
+        order = np.array(sorted(range(len(self.ids)), key=lambda k: hashlib.md5(f"vote {self.ids[k]}".encode()).digest()), int)
+        own = np.concatenate([np.sort(order[self.labels[order] == y][:per_label]) for y in (0, 1)])
         if len(np.unique(self.labels[own])) < 2:
             return
         votes = []
