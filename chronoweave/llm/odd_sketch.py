@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.bytehash import SEGMENT, mix, segments, word_hashes
 from chronoweave.llm.components import connected_components
+from chronoweave.llm.idfilter import IdFilter
 from chronoweave.llm.staging import Staging
 
 WORDS = 5
@@ -24,8 +25,9 @@ SKETCH_BITS = 512
 DEVIATIONS = 5.5
 #: Members of a bucket that are compared in one piece.
 CHUNK = 1024
-#: Turns of hubs before the members of large buckets are compared with each other.
-HUBS = 4
+#: Turns of hubs, as long as buckets of over SMALL members are in several components.
+HUBS = 5
+SMALL = 64
 #: A class with more than this part of all rows is frequent; so no more than so many are.
 FREQUENT = 1000
 _SAMPLES = BANDS * ROWS
@@ -153,20 +155,26 @@ def differing_bits(a: Column, b: Column) -> Column:
     return out
 
 
-def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct ``pairs(a, b)`` that are similar: the sketches are looked at first, then the full sets."""
+def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, staging: Staging, name: str, percent: int) -> DataFrame:
+    """Those of the distinct ``pairs(a, b)`` that are similar, as a staged table: the sketches are looked at first, then the full sets.
+
+    Only sets of the pairs that pass the sketches are shuffled.
+    """
     small = classes.select("cls", "n_shingles", "sketch")
     left = [F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a")]
     right = [F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b")]
     met = pairs.join(small.select(*right), "b").join(small.select(*left), "a")
-    near = met.where(
-        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differing_bits(F.col("s_a"), F.col("s_b")) <= most_bits(percent))
-    ).select("a", "b", "n_a", "n_b")
-    full = near.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("x_b")), "b").join(
-        sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x_a")), "a"
+    near = staging.write(
+        met.where(
+            (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differing_bits(F.col("s_a"), F.col("s_b")) <= most_bits(percent))
+        ).select("a", "b", "n_a", "n_b"),
+        f"near-{name}",
     )
+    count = near.count()
+    sides = [sets.where(IdFilter(near.select(side), count).may_have(F.col("cls"))).select(F.col("cls").alias(side), F.col("shingles").alias(f"x_{side}")) for side in ("b", "a")]
     both = F.size(F.array_intersect("x_a", "x_b"))
-    return full.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+    full = near.join(sides[0], "b").join(sides[1], "a").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
+    return staging.write(full.select("a", "b"), f"links-{name}")
 
 
 def _near_pairs(percent: int):
@@ -218,7 +226,7 @@ def _named(members: DataFrame, edges: DataFrame) -> DataFrame:
     """``members(key, cls)`` of those buckets whose members lie in several components of ``edges``, with their component and the bucket's size."""
     grouped = connected_components(edges, Staging(members.sparkSession, "odd-components"))
     named = members.join(grouped, members["cls"] == grouped["node"], "left").select("key", "cls", F.coalesce("root", "cls").alias("component"))
-    several = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("size")).where("one < other and size > 2")
+    several = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("size")).where("one < other")
     return named.join(several.select("key", "size"), "key")
 
 
@@ -226,25 +234,31 @@ def links(classes: DataFrame, sets: DataFrame, staging: Staging, percent: int =
     """Edges (a, b) that connect what pairs of similar sets connect, of ``classes(cls, n_shingles, bands, sketch)`` with their ``sets(cls, shingles)``.
 
     Sets meet in the buckets of equal band keys: at 85 % one of 32 bands of six samples agrees with a
-    probability of 1 - 3e-7. First each member of a bucket is compared with a hub, its least member. Then, in
-    buckets that this leaves in several components, the pairs of members of different components are
-    compared where their odd sketches are near. In buckets of over CHUNK members some
-    more turns with other hubs come before, and then only the members outside the largest component
-    are compared with the others, a chunk of them at a time. All comparisons end with the full sets.
+    probability of 1 - 3e-7. First each set is compared with one hub, the least member of its largest
+    bucket. While buckets of over SMALL members lie in several components of these links, some more turns
+    follow, with other hubs and for members of other components than their hub. Then the pairs of members of different
+    components are compared in each bucket where their odd sketches are near; in one of over CHUNK
+    members only those outside its largest component are compared with the others, a chunk at
+    a time. All comparisons end with the full sets.
     """
     keyed = classes.select("cls", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    buckets = keyed.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).where("size > 1")
     members = staging.write(keyed.join(buckets, "key"), "members")
-    stars = members.where("cls != hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    edges = staging.write(verified(stars, classes, sets, percent), "links-0")
+
+    def stars(rows: DataFrame) -> DataFrame:
+        """(a, b) for each member and the hub of its largest bucket."""
+        largest = F.max(F.struct("size", "key", "hub")).alias("largest")
+        return rows.groupBy("cls").agg(largest).select(F.col("largest.hub").alias("a"), F.col("cls").alias("b")).distinct()
+
+    edges = verified(stars(members.where("cls != hub")), classes, sets, staging, "0", percent)
     several = staging.write(_named(members.select("key", "cls"), edges), "several-0")
     for turn in range(1, HUBS):
-        large = several.where(F.col("size") > CHUNK)
+        large = several.where(F.col("size") > SMALL)
         if large.isEmpty():
             break
-        other = large.groupBy("key").agg(F.min_by(F.struct("cls", "component"), F.xxhash64("cls", F.lit(turn))).alias("hub"))
-        stars = large.join(other, "key").where("component != hub.component").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b")).distinct()
-        edges = edges.unionByName(staging.write(verified(stars, classes, sets, percent), f"links-{turn}"))
+        hubs = large.groupBy("key").agg(F.min_by(F.struct("cls", "component"), F.xxhash64("cls", F.lit(turn))).alias("other"))
+        apart = large.join(hubs, "key").where("component != other.component").select("key", "cls", "size", F.col("other.cls").alias("hub"))
+        edges = edges.unionByName(verified(stars(apart), classes, sets, staging, str(turn), percent))
         several = staging.write(_named(members.select("key", "cls"), edges), f"several-{turn}")
     small = several.where(F.col("size") <= CHUNK).select("key", "cls", "component", F.lit(0).alias("piece"), F.lit(0).alias("side"))
     large = several.where(F.col("size") > CHUNK)
@@ -253,7 +267,7 @@ def links(classes: DataFrame, sets: DataFrame, staging: Staging, percent: int =
     rows = described.repartition("key", "piece").sortWithinPartitions("key", "piece")
     with staging.batches(4096):
         pairs = staging.write(rows.mapInArrow(_near_pairs(percent), "a long, b long").distinct(), "pairs")
-    return edges.unionByName(staging.write(verified(pairs, classes, sets, percent), "links-rest"))
+    return edges.unionByName(verified(pairs, classes, sets, staging, "rest", percent))
 
 
 def _large_pieces(large: DataFrame) -> DataFrame:
