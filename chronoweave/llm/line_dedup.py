@@ -1,38 +1,41 @@
-"""Dedup of fuzzy lines: SimHash, pigeonhole blocks and least shingles, edit similarity, connected groups."""
+"""Dedup of fuzzy lines: SimHash, pigeonhole blocks of the line, edit similarity, connected groups."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.llm import bytehash
 from chronoweave.llm.bytehash import mix, word_hashes
 from chronoweave.llm.components import connected_components
+from chronoweave.llm.idfilter import IdFilter
 from chronoweave.llm.staging import Staging
 
-#: Lines whose fingerprints differ in RADIUS bits or fewer always meet; those that meet are compared up to NEAR bits.
-RADIUS = 2
-BLOCKS = 4
-NEAR = 14
-#: Besides, lines meet that share the least of their word shingles by one of so many orders.
-ORDERS = 3
-WORDS = 3
 SIMILARITY = 0.9
+#: Only lines that meet and whose fingerprints differ in so many of 64 bits or fewer are compared.
+NEAR = 24
+#: Lines of fewer characters meet by segments, an exact way; lines of SHORT * SIMILARITY or more by blocks of words.
+SHORT = 60
+#: So many blocks for lines of fewer characters than the number beside it.
+_BLOCKS = ((120, 4), (300, 6), (600, 8), (1000, 10), (1 << 62, 12))
+#: How far from its even place a cut may lie, as a part of a block.
+_REACH = 0.45
+#: Lines with fewer words for each block are cut between any characters.
+_WORDS_A_BLOCK = 2
+#: Turns of hubs, as long as buckets of over SMALL lines are in several components; members of a bucket that are compared in one piece.
+HUBS = 5
+SMALL = 64
 CHUNK = 1024
-_BITMAP_BITS = 22
+#: Texts of more characters are compared within a band.
+BAND = 512
 _CHARS = 1 << 19
-_LINES = 1 << 16
-_GROUP = ["key", "table_no", "one", "two"]
-_SHINGLES = [f"least_{k}" for k in range(ORDERS)]
-_EDGES = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-_SINGLE = [((1 << (b - a)) - 1) << a for a, b in zip(_EDGES, _EDGES[1:], strict=False)]
-#: Two fingerprints with at most RADIUS differing bits agree in BLOCKS - RADIUS blocks at least.
-MASKS = np.array([sum(_SINGLE[k] for k in some) for some in combinations(range(BLOCKS), BLOCKS - RADIUS)], np.uint64)
 
 
 def normalise(line: str) -> str:
@@ -40,15 +43,9 @@ def normalise(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def fingerprints(plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The SimHash of the distinct words of each normalised line, signed, and its least shingle by each order. No line may be empty.
-
-    A shingle has three words; a line of fewer is one shingle.
-    """
-    hashes, first = word_hashes("\n".join(plain).encode())
-    counts = np.diff(np.append(first, len(hashes)))
-    least = _least_shingles(hashes, first, counts)
-    line = np.repeat(np.arange(len(first)), counts)
+def fingerprints(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The SimHash, signed, of the distinct words of each line, given all words' hashes and where lines begin. No line may be empty."""
+    line = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(hashes))))
     # Lines in order, and in each the leading 40 bits of its words: one sort of whole numbers.
     order = np.argsort(line.astype(np.uint64) << np.uint64(40) | hashes >> np.uint64(24))
     hashes, line = hashes[order], line[order]
@@ -56,7 +53,7 @@ def fingerprints(plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashes, first = hashes[new], np.searchsorted(line[new], np.arange(len(first)))
     counts = np.diff(np.append(first, len(hashes)))
     ones = _bit_counts(hashes, first, counts)
-    return np.packbits(2 * ones.astype(np.int32) > counts[:, None], axis=1, bitorder="little").view(np.int64)[:, 0], least
+    return np.packbits(2 * ones.astype(np.int32) > counts[:, None], axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
 def _bit_counts(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -77,21 +74,132 @@ def _bit_counts(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def _least_shingles(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(ORDERS, lines): the least hash of the shingles of each line by each order, signed."""
-    held = np.append(hashes, np.zeros(WORDS - 1, np.uint64))
-    at = np.arange(len(hashes)) - np.repeat(first, counts)
-    left = np.repeat(counts, counts) - at
-    joined = np.zeros(len(hashes), np.uint64)
-    for k in range(WORDS):
-        own = held[k : k + len(hashes)] * np.uint64(2 * k + 3)
-        joined = mix(joined + np.where(left > k, own, np.uint64(k)))
-    whole = (left >= WORDS) | (at == 0)
-    out = []
-    for k in range(ORDERS):
-        ranked = np.where(whole, mix(joined ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)), np.uint64(2**64 - 1))
-        out.append(np.minimum.reduceat(ranked, first).view(np.int64))
-    return np.array(out)
+def block_count(size: int) -> int:
+    return next(blocks for most, blocks in _BLOCKS if size < most)
+
+
+def block_keys(hashes: np.ndarray, first: np.ndarray, blocks: int) -> np.ndarray:
+    """(lines, blocks): hashes of the blocks of lines, given their words' hashes and where lines begin.
+
+    A cut lies before the word with the least hash within reach of its even place, so that it stays where it
+    is when words elsewhere are changed, added or left out. Up to ``blocks - 1`` such changes that move no
+    cut leave a block whole, by the pigeonhole principle. Each line has two words for each block at least.
+    """
+    counts = np.diff(np.append(first, len(hashes)))
+    at = np.arange(len(hashes), dtype=np.int64) - np.repeat(first, counts)
+    ranked = np.append(hashes >> np.uint64(24) << np.uint64(24) | at.astype(np.uint64), np.uint64(0))
+    cuts = np.zeros((len(first), blocks + 1), np.int64)
+    even = np.arange(1, blocks)[None, :]
+    low = np.ceil((even - _REACH) * counts[:, None] / blocks).astype(np.int64)
+    high = np.minimum(counts[:, None] - 1, np.floor((even + _REACH) * counts[:, None] / blocks).astype(np.int64))
+    windows = np.stack([first[:, None] + low, first[:, None] + high + 1], axis=-1).reshape(-1)
+    cuts[:, 1:-1] = (np.minimum.reduceat(ranked, windows)[::2] & np.uint64((1 << 24) - 1)).astype(np.int64).reshape(len(first), blocks - 1)
+    cuts[:, -1] = counts
+    cuts += first[:, None]
+    forward, backward = bytehash._power_tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * forward[: len(hashes)], out=sums[1:])
+    own = mix((sums[cuts[:, 1:]] - sums[cuts[:, :-1]]) * backward[cuts[:, :-1]])
+    return mix(own + (np.arange(blocks) + 64 * blocks).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _character_hashes(line: str) -> np.ndarray:
+    """A hash of each character and the two after it."""
+    codes = np.append(np.frombuffer(line.encode("utf-32-le"), np.uint32), np.zeros(2, np.uint32)).astype(np.uint64)
+    return mix(mix(codes[:-2] | codes[1:-1] << np.uint64(21) | codes[2:] << np.uint64(42)))
+
+
+def _segments(size: int, count: int) -> list[tuple[int, int]]:
+    """(start, end) of ``count`` parts of nearly equal size."""
+    edges = [size * k // count for k in range(count + 1)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def segment_keys(line: str, least: float = SIMILARITY) -> set[int]:
+    """Keys of which two short lines that are similar share one.
+
+    With up to d edits one of d + 1 segments of the shorter line is whole in the longer one. Its place there
+    differs by the edits before it and after it at most, and those are d together (Li et al., "Pass-Join", 2011).
+    """
+    size, share, keys = len(line), 1 - least, set()
+
+    def allowed(length: int) -> int:
+        return int(share * length + 1e-9)
+
+    def key(edits: int, length: int, part: int, text: str) -> int:
+        return xxhash.xxh64_intdigest(f"{edits} {length} {part} {text}", 7)
+
+    longest = int(size / least + 1e-9)
+    for edits in {allowed(n) for n in range(size, longest + 1)}:
+        keys.update(key(edits, size, k, line[s:e]) for k, (s, e) in enumerate(_segments(size, edits + 1)))
+    edits = allowed(size)
+    for length in range(size - edits, size + 1):
+        more = size - length
+        for k, (s, e) in enumerate(_segments(length, edits + 1)):
+            low = max(0, s - k, s + more - (edits - k))
+            high = min(size - (e - s), s + k, s + more + (edits - k))
+            keys.update(key(edits, length, k, line[p : p + e - s]) for p in range(low, high + 1))
+    return keys
+
+
+def line_keys(plain: list[str], hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, key) of all keys of normalised lines, in the order of the lines."""
+    sizes = np.array([len(x) for x in plain])
+    counts = np.diff(np.append(first, len(hashes)))
+    owner, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.flatnonzero((sizes < SHORT) & (sizes * (1 - SIMILARITY) + 1e-9 >= 0.9)):
+        own = np.array(sorted(segment_keys(plain[k])), np.uint64)
+        owner.append(np.full(len(own), k))
+        keys.append(own.view(np.int64))
+    # A line and one up to a ninth longer share a number of blocks: the longer one's.
+    wanted = [{block_count(n), block_count(int(n / SIMILARITY))} if n >= SHORT * SIMILARITY else set() for n in sizes.tolist()]
+    for blocks in sorted(set().union(*wanted)):
+        some = np.array([k for k, x in enumerate(wanted) if blocks in x])
+        by_words = some[counts[some] >= _WORDS_A_BLOCK * blocks]
+        if len(by_words):
+            at = np.concatenate([np.arange(first[k], first[k] + counts[k]) for k in by_words])
+            begins = np.append(0, np.cumsum(counts[by_words])[:-1])
+            owner.append(np.repeat(by_words, blocks))
+            keys.append(block_keys(hashes[at], begins, blocks).ravel())
+        for k in some[counts[some] < 1.25 * _WORDS_A_BLOCK * blocks]:
+            owner.append(np.full(blocks, k))
+            keys.append(block_keys(_character_hashes(plain[k]), np.zeros(1, np.int64), blocks).ravel() ^ 0x5DEECE66D)
+    owner, keys = np.concatenate(owner), np.concatenate(keys)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], keys[order]
+
+
+def banded_distance(a: str, b: str, most: int) -> int:
+    """The Levenshtein distance if it is ``most`` or less, else a larger number; bit-parallel over the diagonals in reach (Hyyro 2003)."""
+    if len(a) < len(b):
+        a, b = b, a
+    ahead = len(a) - len(b)
+    if ahead > most:
+        return most + 1
+    where: dict[str, int] = {}
+    for k, char in enumerate(a):
+        where.setdefault(char, []).append(k)
+    matches = {}
+    for char, places in where.items():
+        held = bytearray(len(a) // 8 + 1)
+        for k in places:
+            held[k >> 3] |= 1 << (k & 7)
+        matches[char] = int.from_bytes(held, "little")
+    full = (1 << (2 * most + 1)) - 1
+    up, down, distance, last = full ^ ((1 << most) - 1), 0, ahead, most + ahead
+    for column, char in enumerate(b):
+        shift = column - most
+        match = matches.get(char, 0)
+        match = (match >> shift if shift >= 0 else match << -shift) & full
+        zero = ((((match & up) + up) ^ up) | match | down) & full
+        right = down | (full ^ (zero | up))
+        left = zero & up
+        distance += not zero >> last & 1  # the value on the diagonal that ends in the result never falls
+        if distance > most:
+            return most + 1
+        up = left | (full ^ (zero >> 1 | right))
+        down = zero >> 1 & right
+    return distance
 
 
 def edit_distance(a: str, b: str, enough: int | None = None) -> int:
@@ -109,6 +217,11 @@ def edit_distance(a: str, b: str, enough: int | None = None) -> int:
     a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return len(a) + len(b)
+    if enough is not None and min(len(a), len(b)) > BAND:
+        within = 32
+        while within < enough and (found := banded_distance(a, b, within)) > within:
+            within *= 4
+        return found if within < enough else banded_distance(a, b, enough)
     where: dict[str, int] = {}
     for k, char in enumerate(a):
         where[char] = where.get(char, 0) | 1 << k
@@ -178,300 +291,236 @@ def aligned_cost(a: list[str], b: list[str], enough: int, ahead: int = 3) -> int
 _STEPS = sorted(((p, q) for p in range(4) for q in range(4) if p + q), key=lambda x: (x[0] + x[1], abs(x[0] - x[1])))
 
 
-def _first_table(differences: np.ndarray) -> np.ndarray:
-    """The first mask in which two fingerprints agree, by their differing bits; so each pair has one table."""
-    return ((differences[..., None] & MASKS) == 0).argmax(axis=-1)
+def with_places(docs: DataFrame, place: tuple[Column, Column] | None, staging: Staging) -> DataFrame:
+    """``docs`` as doc (a struct of its columns), text, and the place of each row: (file, idx).
 
+    ``place`` gives two whole numbers that tell the rows apart in every scan; without it rows are numbered in a staged copy.
+    """
+    columns = [F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["text"].alias("text")]
+    if place:
+        return docs.select(*columns, place[0].alias("file"), place[1].alias("idx"))
+    return staging.write(docs.select(*columns, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("idx")), "docs")
 
-def _meant(differ: np.ndarray, table: np.ndarray | int) -> np.ndarray:
-    """Which pairs are compared in a table: near ones, at the first mask they agree in; else wherever their shingles meet."""
-    agree = ((differ[..., None] & MASKS) == 0).any(axis=-1)
-    return (np.bitwise_count(differ) <= NEAR) & np.where(agree, _first_table(differ) == table, table >= len(MASKS))
 
+def lines(placed: DataFrame) -> DataFrame:
+    """(file, idx, line_no, line, check, fp, size, keys): each line of ``placed(file, idx, text)`` that isn't blank, normalised.
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, digest, fp, least): each line of ``docs(doc_id, text)`` that isn't blank, normalised."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    line and check are the halves of the line's MD5, fp is its SimHash, size its characters and keys the
+    hashes of its blocks or segments.
+    """
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(held: list[tuple[int, int, int, str]]) -> pa.RecordBatch:
+        files, rows, numbers, plain = zip(*held, strict=True)
+        hashes, first = word_hashes("\n".join(plain).encode())
+        owner, keys = line_keys(list(plain), hashes, first)
+        ends = np.searchsorted(owner, np.arange(len(plain) + 1)).astype(np.int32)
+        digests = np.frombuffer(b"".join(hashlib.md5(x.encode()).digest() for x in plain), np.int64).reshape(-1, 2)
+        columns = [pa.array(files, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())]
+        columns += [pa.array(fingerprints(hashes, first)), pa.array([len(x) for x in plain], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
+        return pa.RecordBatch.from_arrays(columns, names=["file", "idx", "line_no", "line", "check", "fp", "size", "keys"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, size = [], 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                own = [(doc_id, number, line) for number, line in enumerate(map(normalise, (text or "").split("\n"))) if line]
-                held += own
-                size += len(text or "")
-                if size >= _CHARS:  # features of many lines are made at once
-                    for k in range(0, len(held), _LINES):
-                        yield made(held[k : k + _LINES])
-                    held, size = [], 0
-            yield made(held)
-
-    def made(held: list[tuple]) -> pd.DataFrame:
-        if not held:
-            return pd.DataFrame([], columns=["doc_id", "line_no", "digest", "fp", *_SHINGLES])
-        ids, numbers, plain = zip(*held, strict=True)
-        marks, least = fingerprints(list(plain))
-        digests = [hashlib.md5(line.encode()).digest() for line in plain]
-        return pd.DataFrame({"doc_id": list(ids), "line_no": np.array(numbers, np.int32), "digest": digests, "fp": marks} | dict(zip(_SHINGLES, least, strict=True)))
-
-    found = f"doc_id {kind}, line_no int, digest binary, fp long, {', '.join(f'{x} long' for x in _SHINGLES)}"
-    return docs.select("doc_id", "text").mapInPandas(split, found)
-
-
-def _active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by key, those with a near partner of the same key; all of a run longer than CHUNK.
-
-    Rows of long runs get the number of a chunk; chunk is -1 in other runs.
-    """
-    held: list[np.ndarray] = []
-    run_key, seen = None, 0
-
-    def settle(rows: np.ndarray) -> Iterator[pd.DataFrame]:
-        key, table, fp = rows["key"], rows["table_no"], rows["fp"].view(np.uint64)
-        near, d = np.zeros(len(rows), bool), 1
-        at = np.flatnonzero(key[:-1] == key[1:])
-        while len(at):
-            differ = fp[at] ^ fp[at + d]
-            hit = at[(np.bitwise_count(differ) <= NEAR) & (table[at] == table[at + d])]
-            hit = hit[_meant(fp[hit] ^ fp[hit + d], table[hit])]
-            near[hit] = near[hit + d] = True
-            d += 1
-            at = at[at + d < len(key)]
-            at = at[key[at] == key[at + d]]
-        if near.any():
-            yield _frame(rows[near], -1)
-
-    for batch in batches:
-        rows = np.rec.fromarrays([batch[c].to_numpy(np.int64) for c in ("key", "table_no", "line", "fp")], names="key,table_no,line,fp")
-        if not len(rows):
-            continue
-        bounds = np.flatnonzero(rows["key"][1:] != rows["key"][:-1]) + 1
-        starts, ends = np.concatenate(([0], bounds)), np.concatenate((bounds, [len(rows)]))
-        if run_key is not None and rows["key"][0] == run_key:
-            held.append(rows[: ends[0]])
-            seen += ends[0]
-            starts, ends = starts[1:], ends[1:]
-            if seen > CHUNK:  # a long run goes on as it comes
-                joined = np.concatenate(held)
-                yield _frame(joined, (seen - len(joined) + np.arange(len(joined))) // CHUNK)
-                held = []
-        if len(starts):
-            if held and seen <= CHUNK:
-                yield from settle(np.concatenate(held))
-            long = ends - starts > CHUNK
-            last = len(starts) - 1
-            short = [rows[a:b] for k, (a, b) in enumerate(zip(starts, ends, strict=True)) if not long[k] and k != last] if long.any() else [rows[starts[0] : starts[last]]]
-            for k in np.flatnonzero(long):
-                if k != last:
-                    yield _frame(rows[starts[k] : ends[k]], np.arange(ends[k] - starts[k]) // CHUNK)
-            if short and sum(map(len, short)):
-                yield from settle(np.concatenate(short))
-            tail = rows[starts[last] : ends[last]]
-            run_key, seen, held = tail["key"][0], len(tail), [tail]
-            if seen > CHUNK:
-                yield _frame(tail, np.arange(seen) // CHUNK)
-                held = []
-    if held and seen <= CHUNK:
-        yield from settle(np.concatenate(held))
-
-
-def _frame(rows: np.ndarray, chunk: np.ndarray | int) -> pd.DataFrame:
-    out = pd.DataFrame({name: rows[name] for name in ("key", "table_no", "line", "fp")})
-    out["chunk"] = np.asarray(chunk, np.int64) if np.ndim(chunk) else np.int64(chunk)
-    return out
-
-
-def verify(
-    table: int, names: np.ndarray, fp: np.ndarray, texts: list[str], shingles: np.ndarray, chunk: np.ndarray, least: float = SIMILARITY
-) -> list[tuple[int, int]]:
-    """Edges, without cycles, of the lines of one group that are near by this table and similar.
-
-    Where a group holds two chunks of a bucket, lines of one are compared with those of the other. Lines
-    that share an earlier one of ``shingles`` (orders, lines) meet by that.
-    """
-    order = np.lexsort((names, chunk))
-    names, fp, texts, shingles = names[order], fp[order].view(np.uint64), [texts[k] for k in order], shingles[:, order]
-    met: dict[int, Line] = {}
-
-    def line(i: int) -> Line:
-        if i not in met:
-            met[i] = Line(texts[i])
-        return met[i]
-
-    group, edges = np.arange(len(names)), []
-    sizes = np.array([len(x) for x in texts])
-    split = int((chunk == chunk.min()).sum())
-    two = split < len(names)
-    for i in range(split if two else len(names) - 1):
-        start = split if two else i + 1
-        differ = fp[i] ^ fp[start:]
-        near = np.flatnonzero((np.bitwise_count(differ) <= NEAR) & (group[start:] != group[i]))
-        near = near[_meant(differ[near], table)] + start
-        near = near[np.abs(sizes[near] - sizes[i]) <= (1 - least) * np.maximum(sizes[near], sizes[i]) + 1e-9]
-        for k in range(table - len(MASKS)):
-            near = near[shingles[k, near] != shingles[k, i]]
-        for j in near.tolist():
-            if group[i] != group[j] and line(i).similar(line(j), least):
-                group[group == group[j]] = group[i]
-                edges.append((int(names[i]), int(names[j])))
-    return edges
-
-
-def _verified(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Edges of all groups of rows sorted by group; a group has at most two chunks of lines."""
-
-    def settle(rows: pd.DataFrame, bounds: list[int]) -> pd.DataFrame:
-        table, names, fp, chunk, *shingles = (rows[c].to_numpy(np.int64) for c in ("table_no", "line", "fp", "chunk", *_SHINGLES))
-        texts, edges, held = rows["plain"].to_list(), [], np.array(shingles)
-        for a, b in zip(bounds, bounds[1:], strict=False):
-            if b > a:
-                edges += verify(int(table[a]), names[a:b], fp[a:b], texts[a:b], held[:, a:b], chunk[a:b], least)
-        return pd.DataFrame(edges, columns=["a", "b"])
-
-    held = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        group = rows[_GROUP].to_numpy(np.int64)
-        bounds = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist()]
-        yield settle(rows, bounds)
-        held = rows.iloc[bounds[-1] :]
-    if held is not None:
-        yield settle(held, [0, len(held)])
-
-
-class IdFilter:
-    """A bitmap of hashed ids, of fixed size. It never denies an id that was put in."""
-
-    def __init__(self, ids: DataFrame):
-        spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _BITMAP_BITS))
-        parts = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
-        self.bits = np.zeros(1 << _BITMAP_BITS, bool)
-        for x in parts.agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect():
-            if x.bucket == 0:  # it holds the value 0 alone
-                self.bits[0] = True
-                continue
-            own = np.unpackbits(np.frombuffer(bytes(x.bits), np.uint8), bitorder="little")
-            # Bucket k holds the values from (k - 1) * 32768 + 1 on.
-            values = np.flatnonzero(own) + (x.bucket - 1) * len(own) + 1
-            self.bits[values[values < len(self.bits)]] = True
-        self.shared = ids.sparkSession.sparkContext.broadcast(self.bits)
-
-    def may_have(self, doc_id: Column) -> Column:
-        shared = self.shared
-
-        @F.pandas_udf("boolean")
-        def test(spots: pd.Series) -> pd.Series:
-            return pd.Series(shared.value[spots.to_numpy(np.int64)])
-
-        return test(F.pmod(F.xxhash64(doc_id), F.lit(1 << _BITMAP_BITS)))
-
-
-def line_groups(docs: DataFrame, staging: Staging, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """The lines of ``docs`` as ``lines`` gives them, and (digest, first, count, root) of each distinct one.
-
-    root tells the connected group. Lines are linked whose edit similarity is ``least`` or more, whose
-    fingerprints differ in NEAR bits or fewer, and that agree in some blocks of them (always, if they
-    differ in RADIUS bits or fewer) or share a least shingle. first is the (null, doc_id, line_no) it
-    occurs at first.
+            for file, idx, text in zip(*(batch[c].to_pylist() for c in ("file", "idx", "text")), strict=True):
+                for number, line in enumerate((text or "").split("\n")):
+                    plain = normalise(line)
+                    if plain:
+                        held.append((file, idx, number, plain))
+                        size += len(plain)
+                        if size >= _CHARS:  # features of many lines are made at once
+                            yield made(held)
+                            held, size = [], 0
+            if held:
+                yield made(held)
+
+    return placed.select("file", "idx", "text").mapInArrow(split, "file long, idx long, line_no int, line long, check long, fp long, size int, keys array<long>")
+
+
+def _near(fp_a: Column, size_a: Column, fp_b: Column, size_b: Column, least: float) -> Column:
+    """Whether fingerprints and sizes let two lines be similar."""
+    longer = F.greatest(size_a, size_b)
+    return (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= NEAR) & (F.abs(size_a - size_b) <= F.floor((1 - least) * longer + 1e-9))
+
+
+def _near_pairs(least: float):
+    """Pairs of members of a bucket that are near and in different components; of rows sorted by bucket and piece.
+
+    side tells what a member is compared with: 0 with every other, 1 only with those of side 2.
     """
-    found = staging.write(lines(docs), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "line_no")
-    distinct = staging.write(
-        found.groupBy("digest").agg(*[F.min(x).alias(x) for x in ("fp", *_SHINGLES)], F.min(place).alias("first"), F.count("*").alias("count"))
-        .withColumn("line", F.monotonically_increasing_id()),
-        "distinct",
-    )
-    blocks = [F.col("fp").bitwiseAND(int(mask.astype(np.int64))) for mask in MASKS]
-    tables = F.explode(F.array(*[
-        F.struct(F.lit(k).cast("long").alias("table_no"), F.xxhash64(F.lit(k), value).alias("key"))
-        for k, value in enumerate([*blocks, *map(F.col, _SHINGLES)])
-    ])).alias("t")
-    keyed = distinct.select("line", "fp", tables).select("t.key", "t.table_no", "line", "fp")
-    with staging.batches(65536):
-        active = staging.write(
-            keyed.repartition("key").sortWithinPartitions("key").mapInPandas(_active, "key long, table_no long, line long, fp long, chunk long"),
-            "active",
-        )
-    texts = staging.write(_texts(docs, active.select("line").distinct().join(distinct, "line").select("line", "digest", "first", *_SHINGLES)), "texts")
-    whole = active.where("chunk < 0").select("key", "table_no", "line", "fp", "chunk", F.lit(0).alias("one"), F.lit(0).alias("two"))
-    long = active.where("chunk >= 0")
-    chunks = long.groupBy("key").agg(F.max("chunk").alias("most"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("most"))).alias("other")
-    halves = long.join(chunks, "key").select("key", "table_no", "line", "fp", "chunk", other).select(
-        "key", "table_no", "line", "fp", "chunk", F.least("chunk", "other").cast("int").alias("one"), F.greatest("chunk", "other").cast("int").alias("two")
-    )
-    rows = whole.unionByName(halves).join(texts, "line").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-    edges = rows.mapInPandas(lambda batches: _verified(batches, least), "a long, b long")
-    grouped = connected_components(staging.write(edges, "similar"), staging)
-    named = distinct.join(grouped.withColumnRenamed("node", "line"), "line", "left")
-    return found, named.select("digest", "first", "count", F.coalesce("root", "line").alias("root"))
+
+    def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        first, second = np.flatnonzero(rows["side"] != 2), np.flatnonzero(rows["side"] != 1)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        line, group, size, fp = rows["line"], rows["component"], rows["size"], rows["fp"].view(np.uint64)
+        for start in range(0, len(first), 256):
+            own = first[start : start + 256]
+            longer = np.maximum(size[own, None], size[second])
+            good = (group[own, None] != group[second]) & (np.abs(size[own, None] - size[second]) <= (1 - least) * longer + 1e-9)
+            i, j = np.nonzero(good & (np.bitwise_count(fp[own, None] ^ fp[second]) <= NEAR))
+            left.append(line[own[i]])
+            right.append(line[second[j]])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def frame(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+        for batch in batches:
+            rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("key", "piece", "line", "component", "size", "fp", "side")}
+            held = rows if held is None else {c: np.concatenate([held[c], rows[c]]) for c in rows}
+            new = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["piece"][1:] != held["piece"][:-1])) + 1
+            bounds = [0, *new.tolist()]
+            for s, e in zip(bounds, bounds[1:], strict=False):
+                if e - s > 1:
+                    yield frame(pairs({c: x[s:e] for c, x in held.items()}))
+            held = {c: x[bounds[-1] :] for c, x in held.items()}
+        if held is not None and len(held["key"]) > 1:
+            yield frame(pairs(held))
+
+    return run
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, plain, least) for each of ``wanted(line, digest, first, least)``, read from the document where it occurs first."""
-    by_doc = wanted.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
-        F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "digest", "line", *_SHINGLES)).alias("wanted")
+def _several(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """``members`` of those buckets whose lines lie in several components of ``edges``, with their component and the bucket's size."""
+    grouped = connected_components(edges, Staging(members.sparkSession, "line-components"))
+    named = members.join(grouped, members["line"] == grouped["node"], "left").select("key", "line", "fp", "size", F.coalesce("root", "line").alias("component"))
+    apart = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("held")).where("one < other")
+    return named.join(apart.select("key", "held"), "key")
+
+
+def _pieces(several: DataFrame) -> DataFrame:
+    """(key, line, fp, size, component, piece, side): what is compared in each bucket.
+
+    In a bucket of over CHUNK lines those outside its largest component, a chunk at a time, with every chunk of the bucket.
+    """
+    own = ["key", "line", "fp", "size", "component"]
+    small = several.where(F.col("held") <= CHUNK).select(*own, F.lit(0).alias("piece"), F.lit(0).alias("side"))
+    large = several.where(F.col("held") > CHUNK)
+    if large.isEmpty():
+        return small
+    counts = large.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("most"))
+    told = large.join(largest, "key").withColumns({"row_chunks": F.ceil((F.col("held") - F.col("most")) / CHUNK), "all_chunks": F.ceil(F.col("held") / CHUNK)})
+    mixed, zero = F.xxhash64("line", F.lit("chunk")), F.lit(0).cast("long")
+    piece = (F.col("row") * F.col("all_chunks") + F.col("column")).cast("int").alias("piece")
+    rest = told.where("component != largest").select(*own, "all_chunks", F.pmod(mixed, "row_chunks").alias("row"), F.explode(F.sequence(zero, F.col("all_chunks") - 1)).alias("column"))
+    every = told.select(*own, "all_chunks", F.pmod(mixed, "all_chunks").alias("column"), F.explode(F.sequence(zero, F.col("row_chunks") - 1)).alias("row"))
+    return small.unionByName(rest.select(*own, piece, F.lit(1).alias("side"))).unionByName(every.select(*own, piece, F.lit(2).alias("side")))
+
+
+def _texts(placed: DataFrame, wanted: DataFrame, staging: Staging, name: str) -> DataFrame:
+    """(line, plain) for each of ``wanted(line, first)``, read from the row where it occurs first."""
+    by_row = staging.write(
+        wanted.groupBy(F.col("first.file").alias("w_file"), F.col("first.idx").alias("w_idx")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "line")).alias("wanted")), f"wanted-{name}"
     )
-    own = docs.select("doc_id", "text").where(IdFilter(by_doc).may_have(F.col("doc_id")))
-    met = own.join(by_doc.withColumnRenamed("doc_id", "own_id"), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("text", "wanted")
+    key = F.struct("file", "idx")
+    own = placed.select("file", "idx", "text").where(IdFilter(by_row.select(F.struct(F.col("w_file").alias("file"), F.col("w_idx").alias("idx"))), by_row.count()).may_have(key))
+    met = own.join(by_row, (F.col("file") == F.col("w_file")) & (F.col("idx") == F.col("w_idx"))).select("text", "wanted")
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text, some in zip(batch["text"], batch["wanted"], strict=True):
-                parts = (text or "").split("\n")
-                for x in some:
-                    plain = normalise(parts[x["line_no"]]) if x["line_no"] < len(parts) else ""
-                    if hashlib.md5(plain.encode()).digest() == bytes(x["digest"]):
-                        out.append((x["line"], plain, *(x[c] for c in _SHINGLES)))
-            yield pd.DataFrame(out, columns=["line", "plain", *_SHINGLES])
+                parts = text.split("\n")
+                out += [(x["line"], normalise(parts[x["line_no"]])) for x in some]
+            yield pd.DataFrame(out, columns=["line", "plain"])
+
+    return staging.write(met.mapInPandas(pick, "line long, plain string"), f"texts-{name}")
 
-    return met.mapInPandas(pick, f"line long, plain string, {', '.join(f'{x} long' for x in _SHINGLES)}").dropDuplicates(["line"])
 
+def similar_pairs(pairs: DataFrame, placed: DataFrame, distinct: DataFrame, staging: Staging, name: str, least: float) -> DataFrame:
+    """Those of the distinct ``pairs(a, b)`` whose edit similarity is ``least`` or more, as a staged table."""
+    own = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).distinct()
+    texts = _texts(placed, own.join(distinct.groupBy("line").agg(F.min("first").alias("first")), "line"), staging, name)
 
-def dedup_lines(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    @F.pandas_udf("boolean")
+    def alike(first: pd.Series, second: pd.Series) -> pd.Series:
+        return pd.Series([Line(a).similar(Line(b), least) for a, b in zip(first, second, strict=True)], dtype=bool)
+
+    both = pairs.join(texts.select(F.col("line").alias("a"), F.col("plain").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("plain").alias("y")), "b")
+    return staging.write(both.where(alike("x", "y")).select("a", "b"), f"similar-{name}")
+
+
+def line_groups(placed: DataFrame, staging: Staging, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """The lines of ``placed`` as ``lines`` gives them, and (line, check, first, count, root) of each distinct one.
+
+    root tells the connected group of lines whose edit similarity is ``least`` or more, that share a key and whose
+    fingerprints differ in NEAR bits or fewer; first is the (file, idx, line_no) it occurs at first. Each
+    line is compared with one hub, the least line of its largest bucket. While large buckets lie in
+    several components, turns with other hubs follow; then near lines of different components in each bucket are compared.
+    """
+    found = staging.write(lines(placed), "lines")
+    place = F.struct("file", "idx", "line_no")
+    distinct = staging.write(
+        found.groupBy("line", "check").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(place).alias("first"), F.count("*").alias("count")), "distinct"
+    )
+    keyed = found.select("line", "fp", "size", F.explode("keys").alias("key"))
+    buckets = staging.write(
+        keyed.groupBy("key").agg(F.min("line").alias("one"), F.max("line").alias("other")).where("one < other").select("key"), "buckets"
+    )
+    some = keyed.where(IdFilter(buckets, buckets.count()).may_have(F.col("key")))
+    met = some.join(buckets, "key", "left_semi").groupBy("key", "line").agg(F.min("fp").alias("fp"), F.min("size").alias("size"))
+    members = staging.write(met, "members")
+    hubs = members.groupBy("key").agg(F.min(F.struct("line", "fp", "size")).alias("hub"), F.count("*").alias("held"))
+
+    def stars(rows: DataFrame) -> DataFrame:
+        """(a, b) for each line and the hub of the largest bucket where the two are near."""
+        near = rows.where((F.col("line") != F.col("hub.line")) & _near(F.col("fp"), F.col("size"), F.col("hub.fp"), F.col("hub.size"), least))
+        largest = near.groupBy("line").agg(F.max(F.struct("held", "key", F.col("hub.line").alias("hub"))).alias("largest"))
+        return largest.select(F.col("largest.hub").alias("a"), F.col("line").alias("b"))
+
+    first = staging.write(stars(members.join(hubs, "key")), "stars-0")
+    edges = similar_pairs(first, placed, distinct, staging, "0", least)
+    several = staging.write(_several(members, edges), "several-0")
+    for turn in range(1, HUBS):
+        large = several.where(F.col("held") > SMALL)
+        if large.isEmpty():
+            break
+        other = large.groupBy("key").agg(F.min_by(F.struct("line", "fp", "size", "component"), F.xxhash64("line", F.lit(turn))).alias("hub"))
+        more = staging.write(stars(large.join(other, "key").where("component != hub.component")), f"stars-{turn}")
+        edges = edges.unionByName(similar_pairs(more, placed, distinct, staging, str(turn), least))
+        several = staging.write(_several(members, edges), f"several-{turn}")
+    rows = _pieces(several).repartition("key", "piece").sortWithinPartitions("key", "piece")
+    with staging.batches(8192):
+        pairs = staging.write(rows.mapInArrow(_near_pairs(least), "a long, b long").distinct(), "pairs")
+    edges = edges.unionByName(similar_pairs(pairs, placed, distinct, staging, "rest", least))
+    grouped = connected_components(edges, staging)
+    return found, distinct.join(grouped.withColumnRenamed("node", "line"), "line", "left").select("line", "check", "first", "count", F.coalesce("root", "line").alias("root"))
+
+
+def dedup_lines(docs: DataFrame, least: float = SIMILARITY, place: tuple[Column, Column] | None = None) -> DataFrame:
     """``docs`` with text without repeated lines, and lines and dropped, the numbers of both.
 
-    Of each connected group of fuzzy lines the occurrence with the smallest (doc_id, line number) stays
-    (null ids last); blank lines always stay. Rows that share a doc_id keep or lose a line alike. A
-    null text stays null and has no line; an empty table gives no row. Lines end at a line feed.
+    Of each connected group of fuzzy lines one occurrence stays: the first by the place of its row (file and row within it) and
+    its line number, so ids don't matter, and may be null or repeat. Blank lines always stay. A null text
+    stays null and has no line; an empty table gives no row. Lines end at a line feed. For ``place`` see ``with_places``.
     """
     staging = Staging(docs.sparkSession, "lines")
-    found, named = line_groups(docs, staging, least)
-    found = found.select("doc_id", "line_no", "digest")
+    placed = with_places(docs, place, staging)
+    found, named = line_groups(placed, staging, least)
     named = staging.write(named, "named")
     groups = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("count").alias("size")).where("size > 1")
-    losing = named.join(groups, "root").select("digest", "stays")
-    gone = found.join(losing, "digest").where(
-        ~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("line_no") == F.col("stays.line_no")))
-    )
-    by_doc = staging.write(
-        gone.groupBy(F.col("doc_id").alias("lost_id")).agg(F.collect_set(F.struct("line_no", "digest")).alias("lost")), "lost"
-    )
-    touched = IdFilter(by_doc.select(F.col("lost_id").alias("doc_id")))
-    columns = [c for c in docs.columns if c != "text"]
-    packed = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), "doc_id", "text")
-    empty = F.lit(None).cast(by_doc.schema["lost"].dataType).alias("lost")
-    clean = packed.where(~touched.may_have(F.col("doc_id"))).select("doc", "text", empty)
-    met = packed.where(touched.may_have(F.col("doc_id"))).join(by_doc, F.col("doc_id").eqNullSafe(F.col("lost_id")), "left").select("doc", "text", "lost")
-
-    @F.pandas_udf("text string, lines int, dropped int")
-    def rewrite(texts: pd.Series, lost: pd.Series) -> pd.DataFrame:
+    losing = named.join(groups, "root").select("line", "check", "stays")
+    gone = found.select("file", "idx", "line_no", "line", "check").join(losing, ["line", "check"]).where(F.struct("file", "idx", "line_no") != F.col("stays"))
+    by_row = staging.write(gone.groupBy(F.col("file").alias("l_file"), F.col("idx").alias("l_idx")).agg(F.collect_list("line_no").alias("lost")), "lost")
+    touched = IdFilter(by_row.select(F.struct(F.col("l_file").alias("file"), F.col("l_idx").alias("idx"))), by_row.count())
+    key, whole = F.struct("file", "idx"), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    count = F.coalesce(whole, F.lit(0)).cast("int")
+
+    @F.pandas_udf("string")
+    def without(texts: pd.Series, lost: pd.Series) -> pd.Series:
         out = []
         for text, some in zip(texts, lost, strict=True):
-            if text is None:
-                out.append((None, 0, 0))
-                continue
-            parts = text.split("\n")
-            gone = {(x["line_no"], bytes(x["digest"])) for x in some} if some is not None else set()
-            numbers = {number for number, _ in gone}
-            kept = [
-                line for k, line in enumerate(parts)
-                if k not in numbers or (k, hashlib.md5(normalise(line).encode()).digest()) not in gone
-            ]
-            out.append(("\n".join(kept), len(parts), len(parts) - len(kept)))
-        return pd.DataFrame(out, columns=["text", "lines", "dropped"])
-
-    done = clean.unionByName(met).select("doc", rewrite("text", "lost").alias("new"))
-    own = [F.col(f"doc.{c}").alias(c) if c != "text" else F.col("new.text").alias("text") for c in docs.columns]
-    return done.select(*own, F.col("new.lines").alias("lines"), F.col("new.dropped").alias("dropped"))
+            gone = set(some)
+            out.append("\n".join(line for k, line in enumerate(text.split("\n")) if k not in gone))
+        return pd.Series(out, dtype="object")
+
+    fields = lambda text, dropped: [*(F.col(f"doc.{c}").alias(c) if c != "text" else text.alias("text") for c in docs.columns), count.alias("lines"), dropped.cast("int").alias("dropped")]
+    clean = placed.where(~touched.may_have(key)).select(*fields(F.col("text"), F.lit(0)))
+    met = placed.where(touched.may_have(key)).join(by_row, (F.col("file") == F.col("l_file")) & (F.col("idx") == F.col("l_idx")), "left")
+    same = met.where("lost is null").select(*fields(F.col("text"), F.lit(0)))
+    changed = met.where("lost is not null").select(*fields(without("text", "lost"), F.size("lost")))
+    return clean.unionByName(same).unionByName(changed)

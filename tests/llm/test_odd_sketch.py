@@ -71,6 +71,7 @@ def test_chains_about_the_threshold(spark):
 @pytest.mark.parametrize("chunk", [16, 1024])
 def test_large_buckets(spark, chunk, monkeypatch):
     monkeypatch.setattr(odd_sketch, "CHUNK", chunk)
+    monkeypatch.setattr(odd_sketch, "SMALL", chunk // 4)
     texts = families(np.random.default_rng(5), 2, 150, 90)
     rng = np.random.default_rng(6)
     for text in texts[:120]:  # members of one bucket that are alike without being similar

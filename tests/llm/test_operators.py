@@ -207,32 +207,6 @@ def test_lines(docs):
     assert line_dedup.edit_distance("kitten", "sitting") == 3
 
 
-def test_similar_lines_are_found(spark):
-    """Recall against all pairs of edit similarity 0.9 or more, by length; unlike lines stay apart."""
-    rng = np.random.default_rng(6)
-    syllables = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
-    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
-    lines, partner = [], {}
-    for words in (8, 15, 30, 60, 120):
-        for _ in range(40):
-            own = [word() for _ in range(words)]
-            changed, at = list(own), rng.integers(0, words)
-            changed[at] = changed[at][:-1] + "x"
-            if words >= 30:
-                changed[(at + 11) % words] = word()[: len(changed[(at + 11) % words])]
-            partner[" ".join(own)] = " ".join(changed)
-            lines += [" ".join(own), " ".join(changed), " ".join(word() for _ in range(words))]
-    docs = spark.createDataFrame([(k, line + "\n\nlast " + str(k) * 9) for k, line in enumerate(lines)], "doc_id long, text string")
-    done = {x.doc_id: x for x in line_dedup.dedup_lines(docs).collect()}
-    kept = {line for x in done.values() for line in x.text.split("\n")}
-    pairs = [(a, b) for a, b in partner.items() if line_dedup.similar(a, b)]
-    for low, high in ((0, 80), (80, 160), (160, 400), (400, 2000)):
-        own = [(a, b) for a, b in pairs if low <= len(a) < high]
-        assert len(own) >= 20 and np.mean([b not in kept for _, b in own]) >= 0.9
-    apart = set(lines) - {b for _, b in pairs}
-    assert apart <= kept
-
-
 def test_classifiers(docs, labels, rows):
     scored = quality.quality_scores(docs, labels.select("doc_id", F.col("quality").alias("label"))).collect()
     assert len(scored) == len(rows) and all(0 <= x.score <= 1 for x in scored)
