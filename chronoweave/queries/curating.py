@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronoweave.catalog import NOW, activity, clusters, facts, load, sessions
 from chronoweave.functions import compare
 from chronoweave.functions import vector as vec
-from chronoweave.operators import curation, enrich, ranking
+from chronoweave.operators import curation, enrich, nearest, ranking
 from chronoweave.operators.sessions import number_islands, seconds_between
 from chronoweave.plans import routes, temporal
 from chronoweave.queries.registry import ACT, SESSIONS, registry
@@ -129,7 +129,7 @@ def rank_artifact_generic(spark, d):
 
 @query(
     "memory_strategies",
-    f"WITH {MEMORY}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id IN (0, 1, 2)),"
+    f"WITH {MEMORY}, q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0),"
     " r AS (SELECT query_id, cluster_id FROM q, cl QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(centroid, q), 6) DESC, cluster_id) <= 2),"
     " s AS (SELECT query_id, fact_id, cluster_id, round(list_cosine_similarity(embedding, q), 6) AS cos FROM fa, q)"
     " SELECT 'append' AS strategy, query_id, fact_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, fact_id) AS place FROM s QUALIFY place <= 5"
@@ -137,14 +137,11 @@ def rank_artifact_generic(spark, d):
 )
 def memory_strategies(spark, d):
     known = facts(spark, d).select("fact_id", "cluster_id", "embedding")
-    asked = known.where("fact_id in (0, 1, 2)").select(F.col("fact_id").alias("query_id"), F.col("embedding").alias("q"))  # three stated queries
-    scored = known.crossJoin(F.broadcast(asked)).withColumn("cos", F.round(vec.cosine("embedding", "q"), 6))
-    near = clusters(spark, d).crossJoin(F.broadcast(asked)).withColumn("cos", F.round(vec.cosine("centroid", "q"), 6))
-    routed = ranking.top_per_group(near, "query_id", "cos", "cluster_id", 2).select("query_id", "cluster_id")
-    out = []
-    for name, rows in (("append", scored), ("clusters", scored.join(F.broadcast(routed), ["query_id", "cluster_id"], "left_semi"))):
-        best = ranking.top_per_group(rows, "query_id", "cos", "fact_id", 5)
-        out.append(best.select(F.lit(name).alias("strategy"), "query_id", "fact_id", F.col("place").cast("long").alias("place")))
+    asked = known.where("fact_id % 50 = 0").select(F.col("fact_id").alias("query_id"), F.col("embedding").alias("q"))
+    routed = nearest.nearest_rows(clusters(spark, d), asked, "cluster_id", "centroid", 2).select("query_id", F.col("item").alias("group"))
+    append = nearest.nearest_rows(known, asked, "fact_id", "embedding", 5)
+    within = nearest.nearest_rows(known, asked, "fact_id", "embedding", 5, "cluster_id", routed)
+    out = [best.select(F.lit(name).alias("strategy"), "query_id", F.col("item").alias("fact_id"), "place") for name, best in (("append", append), ("clusters", within))]
     return out[0].unionByName(out[1])
 
 

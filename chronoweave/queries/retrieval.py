@@ -295,12 +295,6 @@ def recall_exact_instant(spark, d):
     return near.orderBy(F.abs(seconds_between(F.col("ts"), at)), "event_id").limit(1).select("event_id")
 
 
-@query("redaction", "SELECT doc_id, CASE WHEN source = 'src3' OR contains(lower(text), 'trash') THEN '' ELSE lang END AS shown FROM documents")
-def redaction(spark, d):
-    hidden = (F.col("source") == "src3") | F.contains(F.lower("text"), F.lit("trash"))
-    return load(spark, d, "documents").select("doc_id", F.when(hidden, F.lit("")).otherwise(F.col("lang")).alias("shown"))
-
-
 @query("watch_literal", "SELECT doc_id FROM documents WHERE (contains(lower(text), 'trash') OR contains(lower(text), 'scum')) AND contains(lower(text), 'the')")
 def watch_literal(spark, d):
     text = F.col("text")

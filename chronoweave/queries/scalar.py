@@ -207,15 +207,3 @@ def set_subset(spark, d):
 )
 def src_html_text(spark, d):
     return load(spark, d, "pages").select("page_id", tx.page_title(F.col("html")).alias("title"), F.sha1(tx.visible_text(F.col("html"))).alias("body"))
-
-
-@query("join_url_prefix", r"SELECT page_id FROM pages WHERE regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]+)', 1)), '^www\.', '') LIKE '%.example.com' AND regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) LIKE '/en/%'")
-def join_url_prefix(spark, d):
-    host = F.regexp_replace(F.lower(F.try_parse_url("url", F.lit("HOST"))), r"^www\.", "")
-    path = F.try_parse_url("url", F.lit("PATH"))
-    return load(spark, d, "pages").where(host.endswith(".example.com") & path.startswith("/en/")).select("page_id")
-
-
-@query("join_substring_rules", "SELECT event_id, event_type IN ('error') OR contains(props, '9') AS redacted FROM events")
-def join_substring_rules(spark, d):
-    return load(spark, d, "events").select("event_id", (F.col("event_type").isin("error") | F.contains("props", F.lit("9"))).alias("redacted"))

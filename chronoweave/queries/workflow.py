@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoweave.catalog import NOW, activity, clusters, facts, load, sessions
 from chronoweave.functions import text as tx
 from chronoweave.functions import vector as vec
-from chronoweave.operators import enrich, memory, ranking
+from chronoweave.operators import enrich, memory, nearest, ranking
 from chronoweave.operators.sessions import number_islands, seconds_between
 from chronoweave.queries.registry import ACT, SESSIONS, registry
 from chronoweave.queries.retrieval import MEMORY
@@ -267,11 +267,12 @@ def rank_screenshots(spark, d):
     return ranking.page(some.orderBy(F.desc("score"), "vec_id"), 20, 5, 100).select("vec_id", F.round("score", 5).alias("score"))
 
 
-_TURNS = f"t AS (SELECT conv_id, turn, role, text, {COS} AS cos FROM conversations JOIN embeddings ON vec_id = (conv_id * 7 + turn) % 400)"
+_TURNS = f"t AS (SELECT conv_id, turn, role, text, {COS} AS cos FROM conversations JOIN embeddings ON vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings))"
 
 
 def _turns(spark, d):
-    turns = load(spark, d, "conversations").withColumn("vec_id", (F.col("conv_id") * 7 + F.col("turn")) % 400)
+    vectors = load(spark, d, "embeddings").agg(F.count("*").alias("vectors"))  # one row
+    turns = load(spark, d, "conversations").crossJoin(F.broadcast(vectors)).withColumn("vec_id", (F.col("conv_id") * 7 + F.col("turn")) % F.col("vectors"))
     return turns.join(_scored(spark, d).select("vec_id", "cos"), "vec_id")
 
 
@@ -320,12 +321,11 @@ def profile_slice(spark, d):
     return load(spark, d, "embeddings").where(fixed).select("vec_id", F.lit(True).alias("always")).unionByName(best.select("vec_id", F.lit(False).alias("always")))
 
 
-@query("join_cross_topk", "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id IN (0, 1, 2)), s AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) DESC, vec_id) AS place FROM embeddings, q) SELECT * FROM s WHERE place <= 5")
+@query("join_cross_topk", "WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 6) DESC, vec_id) AS place FROM embeddings, q) SELECT * FROM s WHERE place <= 5")
 def join_cross_topk(spark, d):
     rows = load(spark, d, "embeddings")
-    asked = rows.where("vec_id in (0, 1, 2)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = rows.crossJoin(F.broadcast(asked)).withColumn("score", F.round(vec.cosine("embedding", "q"), 6))  # three stated queries
-    return ranking.top_per_group(scored, "query_id", "score", "vec_id", 5).select("query_id", "vec_id", F.col("place").cast("long").alias("place"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return nearest.nearest_rows(rows, asked, "vec_id", "embedding", 5).select("query_id", F.col("item").alias("vec_id"), "place")
 
 
 @query("join_fts_rowid", r"WITH h AS (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: w = 'trash')) AS tf FROM documents) SELECT doc_id, source, tf FROM documents JOIN h USING (doc_id) WHERE tf > 0")
