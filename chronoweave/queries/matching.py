@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoweave.catalog import load
-from chronoweave.operators import rules
+from chronoweave.operators import curation, rules
 from chronoweave.operators.index import SegmentedIndex
 from chronoweave.queries.registry import registry
 from chronoweave.queries.retrieval import _BM25, TERMS
@@ -88,3 +88,12 @@ def index_search(spark, d):
     index = _changed_index(spark, d)
     index.merge()
     return index.search(TERMS).select("doc_id", F.round("score", 5).alias("score"))
+
+
+@query("curate_pipeline")
+def curate_pipeline(spark, d):
+    """Turns as examples of their role; those that open a conversation are seeds, the benchmark is the golden set."""
+    turns = load(spark, d, "conversations").where("conv_id is not null and turn is not null")
+    item = (F.col("conv_id") * F.lit(1 << 20) + F.col("turn")).alias("item")
+    rows = turns.groupBy(item).agg(F.min("role").alias("label"), F.min("text").alias("text"), (F.min("turn") == 0).alias("seed"))
+    return curation.curate(rows, load(spark, d, "benchmark").select("text"), scratch(spark, "curate"))
