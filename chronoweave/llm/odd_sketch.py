@@ -22,11 +22,11 @@ BANDS = 32
 ROWS = 6
 SKETCH_BITS = 512
 #: A pair at the threshold is let through unless its sketches lie so many standard deviations off.
-DEVIATIONS = 5.5
+DEVIATIONS = 5
 #: Members of a bucket that are compared in one piece.
 CHUNK = 1024
 #: Turns of hubs, as long as buckets of over SMALL members are in several components.
-HUBS = 5
+HUBS = 3
 SMALL = 64
 #: A class with more than this part of all rows is frequent; so no more than so many are.
 FREQUENT = 1000
@@ -177,43 +177,102 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, staging: Sta
     return staging.write(full.select("a", "b"), f"links-{name}")
 
 
-def _near_pairs(percent: int):
-    """Pairs of members of a bucket in different components whose sketches are near; of rows sorted by bucket.
+_ROW = ["key", "piece", "side", "cls", "component"]
 
-    side tells what a member is compared with: 0 with every other, 1 only with those of side 2.
+
+def _candidates(rows: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, differing bits) of the members of a bucket's piece that may be similar: in different components, with near sketches.
+
+    A pair is looked at in one bucket only, that of the least key it shares. side tells what a member is compared
+    with: 0 with every other, 1 only with those of side 2.
     """
-    limit = most_bits(percent)
-
-    def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        first = np.flatnonzero(rows["side"] != 2)
-        second = np.flatnonzero(rows["side"] != 1)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        cls, group, n, sketch = (rows[c] for c in ("cls", "component", "n_shingles", "sketch"))
-        for start in range(0, len(first), 64):
-            own = first[start : start + 64]
-            good = (group[own, None] != group[second]) & (100 * np.minimum(n[own, None], n[second]) >= percent * np.maximum(n[own, None], n[second]))
-            i, j = np.nonzero(good)
-            i, j = own[i], second[j]
-            close = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= limit
-            left.append(cls[i[close]])
-            right.append(cls[j[close]])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return np.minimum(a, b), np.maximum(a, b)
+    first, second = np.flatnonzero(rows["side"] != 2), np.flatnonzero(rows["side"] != 1)
+    group, n, sketch, bands, key = (rows[c] for c in ("component", "n_shingles", "sketch", "bands", "key"))
+    out = [(np.zeros(0, np.int64),) * 3]
+    for start in range(0, len(first), 64):
+        own = first[start : start + 64]
+        good = (group[own, None] != group[second]) & (100 * np.minimum(n[own, None], n[second]) >= percent * np.maximum(n[own, None], n[second]))
+        i, j = np.nonzero(good)
+        i, j = own[i], second[j]
+        for k in range(0, len(i), 1 << 15):
+            x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+            bits = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1).astype(np.int64)
+            x, y, bits = (v[bits <= most_bits(percent)] for v in (x, y, bits))
+            least = np.where(bands[x] == bands[y], bands[x], np.iinfo(np.int64).max).min(axis=1)
+            out.append(tuple(v[least == key[0]] for v in (x, y, bits)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _by_piece(batches: Iterator[pa.RecordBatch], lists: dict[str, int]) -> Iterator[dict]:
+    """The rows of each piece of a bucket, of rows sorted by it; ``lists`` has the lengths of array columns, 0 where they differ."""
+
+    def read(batch: pa.RecordBatch) -> dict:
+        rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names if c not in lists}
+        for c, width in lists.items():
+            if width:
+                rows[c] = np.asarray(batch[c].flatten()).reshape(-1, width)
+            else:
+                rows[c] = np.empty(batch.num_rows, object)
+                rows[c][:] = [np.asarray(x.values).view(np.uint64) for x in batch[c]]
+        rows["sketch"] = rows["sketch"].view(np.uint64)
+        return rows
+
+    held: dict | None = None
+    for batch in batches:
+        rows = read(batch)
+        held = rows if held is None else {c: np.concatenate([held[c], rows[c]]) for c in rows}
+        new = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["piece"][1:] != held["piece"][:-1])) + 1
+        bounds = [0, *new.tolist()]
+        for s, e in zip(bounds, bounds[1:], strict=False):
+            if e - s > 1:
+                yield {c: x[s:e] for c, x in held.items()}
+        held = {c: x[bounds[-1] :] for c, x in held.items()}
+    if held is not None and len(held["key"]) > 1:
+        yield held
+
+
+_LISTS = {"sketch": SKETCH_BITS // 64, "bands": BANDS}
+
+
+def _active(percent: int):
+    """Those members of a piece that have a candidate in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("key", "piece", "cls", "component", "n_shingles", "side")}
-            rows["sketch"] = np.asarray(batch["sketch"].flatten()).reshape(-1, SKETCH_BITS // 64).view(np.uint64)
-            held = rows if held is None else {c: np.concatenate([held[c], rows[c]]) for c in rows}
-            new = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["piece"][1:] != held["piece"][:-1])) + 1
-            bounds = [0, *new.tolist()]
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                if e - s > 1:
-                    yield _frame(*pairs({c: x[s:e] for c, x in held.items()}))
-            held = {c: x[bounds[-1] :] for c, x in held.items()}
-        if held is not None and len(held["key"]) > 1:
-            yield _frame(*pairs(held))
+        for rows in _by_piece(batches, _LISTS):
+            i, j, _ = _candidates(rows, percent)
+            if len(i):
+                own = np.union1d(i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[c][own]) for c in _ROW], names=_ROW)
+
+    return run
+
+
+def _confirmed(percent: int):
+    """Edges of similar candidates, nearest sketches first, without those that earlier ones of the piece make needless."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_piece(batches, _LISTS | {"shingles": 0}):
+            i, j, bits = _candidates(rows, percent)
+            root, edges = {}, []
+
+            def top(x: int, root=root) -> int:
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            sets, group, cls = rows["shingles"], rows["component"], rows["cls"]
+            for k in np.argsort(bits, kind="stable").tolist():
+                x, y = i[k], j[k]
+                if top(int(group[x])) == top(int(group[y])):
+                    continue
+                small, large = sorted((sets[x], sets[y]), key=len)
+                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int((large[at] == small).sum())
+                if 100 * both >= percent * (len(small) + len(large) - both):
+                    root[top(int(group[x]))] = top(int(group[y]))
+                    edges.append((int(cls[x]), int(cls[y])))
+            if edges:
+                yield _frame(np.array([a for a, _ in edges]), np.array([b for _, b in edges]))
 
     return run
 
@@ -263,11 +322,16 @@ def links(classes: DataFrame, sets: DataFrame, staging: Staging, percent: int =
     small = several.where(F.col("size") <= CHUNK).select("key", "cls", "component", F.lit(0).alias("piece"), F.lit(0).alias("side"))
     large = several.where(F.col("size") > CHUNK)
     pieces = small if large.isEmpty() else small.unionByName(_large_pieces(large))
-    described = pieces.join(classes.select("cls", "n_shingles", "sketch"), "cls")
-    rows = described.repartition("key", "piece").sortWithinPartitions("key", "piece")
+    described = pieces.join(classes.select("cls", "n_shingles", "sketch", "bands"), "cls")
     with staging.batches(4096):
-        pairs = staging.write(rows.mapInArrow(_near_pairs(percent), "a long, b long").distinct(), "pairs")
-    return edges.unionByName(verified(pairs, classes, sets, staging, "rest", percent))
+        active = staging.write(
+            described.repartition("key", "piece").sortWithinPartitions("key", "piece").mapInArrow(_active(percent), "key long, piece int, side int, cls long, component long"), "active"
+        )
+    own = active.select("cls").distinct()
+    some = sets.where(IdFilter(own, active.count()).may_have(F.col("cls"))).join(own, "cls", "left_semi")
+    whole = active.join(classes.select("cls", "n_shingles", "sketch", "bands"), "cls").join(some, "cls")
+    rest = whole.repartition("key", "piece").sortWithinPartitions("key", "piece").mapInArrow(_confirmed(percent), "a long, b long")
+    return edges.unionByName(staging.write(rest, "links-rest"))
 
 
 def _large_pieces(large: DataFrame) -> DataFrame:
