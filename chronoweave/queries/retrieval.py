@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from chronoweave.catalog import NOW, activity, clusters, facts, load
 from chronoweave.functions import vector as vec
-from chronoweave.operators import enrich, joins, ranking
+from chronoweave.operators import enrich, joins, ranking, scans
 from chronoweave.operators.sessions import seconds_between
 from chronoweave.queries.registry import ACT, registry
 from chronoweave.queries.scalar import Q, WORDS, _query_vector
+from chronoweave.sources.shared import scratch
 
 QUERIES, ORACLES, query = registry()
 TERMS = ["trash", "und", "que"]
@@ -253,14 +254,21 @@ def dup_cache(spark, d):
     " SELECT user_id, CAST(len(xs) - 1 AS BIGINT) AS n, round(list_reduce(xs, lambda m, x: 0.05e0 * x + 0.95e0 * m), 4) AS mean FROM g",
 )
 def baseline_ewma(spark, d):
-    return enrich.ewma_last(load(spark, d, "events"), "user_id", "event_id", "value").select("user_id", "n", F.round("mean", 4).alias("mean"))
+    states = scans.ewma_scan(load(spark, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value", scratch(spark, "baseline"), enrich.ALPHA)
+    last = states.groupBy("user_id").agg(F.max_by(F.struct("n", "mean"), "event_id").alias("last"))
+    return last.select("user_id", "last.n", F.round("last.mean", 4).alias("mean"))
 
 
-@query("baseline_deviation")
+@query(
+    "baseline_deviation",
+    "WITH g AS (SELECT user_id, list({'m': value, 'v': 0e0, 'n': 0} ORDER BY event_id) AS xs, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY user_id), i AS (SELECT user_id, xs, ids, unnest(range(1, len(xs) + 1)) AS k FROM g),"
+    " s AS (SELECT user_id, ids[k] AS event_id, xs[k].m AS x, list_reduce(xs[1:k], lambda s, r: {'m': 0.05e0 * r.m + 0.95e0 * s.m, 'v': 0.95e0 * (s.v + 0.05e0 * (r.m - s.m) * (r.m - s.m)), 'n': s.n + 1}) AS s FROM i)"
+    " SELECT user_id, event_id, round((x - s.m) / sqrt(s.v), 2) + 0e0 AS z FROM s WHERE s.n >= 30 AND s.v > 1e-6",
+)
 def baseline_deviation(spark, d):
-    states = enrich.ewma_states(load(spark, d, "events"), "user_id", "event_id", "value").select("user_id", F.explode("states").alias("s"))
-    z = enrich.z_score(F.col("s.x"), F.col("s.mean"), F.col("s.var"), F.col("s.n"))
-    return states.select("user_id", F.col("s.o").alias("event_id"), z.alias("z")).where("z is not null")
+    states = scans.ewma_scan(load(spark, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value", scratch(spark, "baseline"), enrich.ALPHA)
+    z = enrich.z_score(F.col("value"), F.col("mean"), F.col("var"), F.col("n"))
+    return states.select("user_id", "event_id", (z + F.lit(0.0)).alias("z")).where("z is not null")
 
 
 @query(

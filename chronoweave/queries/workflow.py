@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from chronoweave.catalog import NOW, activity, clusters, facts, load, sessions
 from chronoweave.functions import text as tx
 from chronoweave.functions import vector as vec
-from chronoweave.operators import enrich, memory, nearest, ranking
+from chronoweave.operators import enrich, memory, nearest, ranking, scans
 from chronoweave.operators.sessions import number_islands, seconds_between
 from chronoweave.queries.registry import ACT, SESSIONS, registry
 from chronoweave.queries.retrieval import MEMORY
 from chronoweave.queries.scalar import Q, _query_vector
 from chronoweave.sources.readers import parse_numstat
+from chronoweave.sources.shared import scratch
 
 QUERIES, ORACLES, query = registry()
 COS = f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), {Q})"
@@ -55,8 +56,8 @@ def win_running_budget(spark, d):
     " SELECT user_id, ids[k] AS event_id, round(list_reduce(xs[1:k], lambda m, x: 0.05e0 * x + 0.95e0 * m) + 0.0000137e0, 4) AS mean FROM i",  # means have few decimals: the shift keeps them off ties
 )
 def win_ewma(spark, d):
-    states = enrich.ewma_states(load(spark, d, "events"), "user_id", "event_id", "value").select("user_id", F.explode("states").alias("s"))
-    return states.select("user_id", F.col("s.o").alias("event_id"), F.round(F.col("s.mean") + F.lit(0.0000137), 4).alias("mean"))
+    states = scans.ewma_scan(load(spark, d, "events").select("user_id", "event_id", "value"), "user_id", ["event_id"], "value", scratch(spark, "ewma"), enrich.ALPHA)
+    return states.select("user_id", "event_id", F.round(F.col("mean") + F.lit(0.0000137), 4).alias("mean"))
 
 
 @query("fn_ewma_step", "SELECT event_id, round(0.05e0 * value + 0.95e0 * b, 6) AS mean, round(0.95e0 * (0.05e0 * (value - b) * (value - b)), 9) AS var FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE b IS NOT NULL")
