@@ -25,12 +25,12 @@ def test_spelling():
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("I should have gone out last weekend", "past"),
-        ("what did I do", "past"),
-        ("I was wondering if I should visit Rome", "future"),
-        ("should I check my activity from monday", None),
-        ("I'm going to hike on sunday", "future"),
-        ("notes about tax", None),
+        ("we could have baked bread on tuesday", "past"),
+        ("which files did she open", "past"),
+        ("I was thinking I might paint the fence", "future"),
+        ("could you show the invoices of april", None),
+        ("they are going to plant trees", "future"),
+        ("recipes with lentils", None),
     ],
 )
 def test_tense(text, want):
