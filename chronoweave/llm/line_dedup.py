@@ -20,9 +20,9 @@ from chronoweave.llm.staging import Staging
 
 SIMILARITY = 0.9
 #: Only lines that meet and whose fingerprints differ in so many of 64 bits or fewer are compared.
-NEAR = 24
+NEAR = 20
 #: Lines of fewer characters meet by segments, an exact way; lines of SHORT * SIMILARITY or more by blocks of words.
-SHORT = 60
+SHORT = 44
 #: So many blocks for lines of fewer characters than the number beside it.
 _BLOCKS = ((120, 4), (300, 6), (600, 8), (1000, 10), (1 << 62, 12))
 #: How far from its even place a cut may lie, as a part of a block.
@@ -30,7 +30,7 @@ _REACH = 0.45
 #: Lines with fewer words for each block are cut between any characters.
 _WORDS_A_BLOCK = 2
 #: Turns of hubs, as long as buckets of over SMALL lines are in several components; members of a bucket that are compared in one piece.
-HUBS = 5
+HUBS = 2
 SMALL = 64
 CHUNK = 1024
 #: Texts of more characters are compared within a band.
@@ -74,10 +74,6 @@ def _bit_counts(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def block_count(size: int) -> int:
-    return next(blocks for most, blocks in _BLOCKS if size < most)
-
-
 def block_keys(hashes: np.ndarray, first: np.ndarray, blocks: int) -> np.ndarray:
     """(lines, blocks): hashes of the blocks of lines, given their words' hashes and where lines begin.
 
@@ -152,18 +148,19 @@ def line_keys(plain: list[str], hashes: np.ndarray, first: np.ndarray) -> tuple[
         owner.append(np.full(len(own), k))
         keys.append(own.view(np.int64))
     # A line and one up to a ninth longer share a number of blocks: the longer one's.
-    wanted = [{block_count(n), block_count(int(n / SIMILARITY))} if n >= SHORT * SIMILARITY else set() for n in sizes.tolist()]
-    for blocks in sorted(set().union(*wanted)):
-        some = np.array([k for k, x in enumerate(wanted) if blocks in x])
+    edges = np.array([most for most, _ in _BLOCKS])
+    own, longer = np.searchsorted(edges, sizes, side="right"), np.searchsorted(edges, np.floor(sizes / SIMILARITY), side="right")
+    for k, (_, blocks) in enumerate(_BLOCKS):
+        some = np.flatnonzero((sizes >= SHORT * SIMILARITY) & ((own == k) | (longer == k)))
         by_words = some[counts[some] >= _WORDS_A_BLOCK * blocks]
         if len(by_words):
-            at = np.concatenate([np.arange(first[k], first[k] + counts[k]) for k in by_words])
             begins = np.append(0, np.cumsum(counts[by_words])[:-1])
+            at = np.arange(counts[by_words].sum()) + np.repeat(first[by_words] - begins, counts[by_words])
             owner.append(np.repeat(by_words, blocks))
             keys.append(block_keys(hashes[at], begins, blocks).ravel())
-        for k in some[counts[some] < 1.25 * _WORDS_A_BLOCK * blocks]:
-            owner.append(np.full(blocks, k))
-            keys.append(block_keys(_character_hashes(plain[k]), np.zeros(1, np.int64), blocks).ravel() ^ 0x5DEECE66D)
+        for j in some[counts[some] < 1.25 * _WORDS_A_BLOCK * blocks]:
+            owner.append(np.full(blocks, j))
+            keys.append(block_keys(_character_hashes(plain[j]), np.zeros(1, np.int64), blocks).ravel() ^ 0x5DEECE66D)
     owner, keys = np.concatenate(owner), np.concatenate(keys)
     order = np.argsort(owner, kind="stable")
     return owner[order], keys[order]
