@@ -19,8 +19,10 @@ from chronoweave.llm.idfilter import IdFilter
 from chronoweave.llm.staging import Staging
 
 SIMILARITY = 0.9
-#: Only lines that meet and whose fingerprints differ in so many of 64 bits or fewer are compared.
+#: Only lines that meet and whose fingerprints differ in so many of 64 bits or fewer are compared; of under NEAR_CHARS characters, FEW_WORDS_NEAR.
 NEAR = 20
+NEAR_CHARS = 100
+FEW_WORDS_NEAR = 24
 #: Lines of fewer characters meet by segments, an exact way; lines of SHORT * SIMILARITY or more by blocks of words.
 SHORT = 44
 #: So many blocks for lines of fewer characters than the number beside it.
@@ -337,7 +339,8 @@ def lines(placed: DataFrame) -> DataFrame:
 def _near(fp_a: Column, size_a: Column, fp_b: Column, size_b: Column, least: float) -> Column:
     """Whether fingerprints and sizes let two lines be similar."""
     longer = F.greatest(size_a, size_b)
-    return (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= NEAR) & (F.abs(size_a - size_b) <= F.floor((1 - least) * longer + 1e-9))
+    most = F.when(longer < NEAR_CHARS, FEW_WORDS_NEAR).otherwise(NEAR)
+    return (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= most) & (F.abs(size_a - size_b) <= F.floor((1 - least) * longer + 1e-9))
 
 
 def _near_pairs(least: float):
@@ -354,7 +357,7 @@ def _near_pairs(least: float):
             own = first[start : start + 256]
             longer = np.maximum(size[own, None], size[second])
             good = (group[own, None] != group[second]) & (np.abs(size[own, None] - size[second]) <= (1 - least) * longer + 1e-9)
-            i, j = np.nonzero(good & (np.bitwise_count(fp[own, None] ^ fp[second]) <= NEAR))
+            i, j = np.nonzero(good & (np.bitwise_count(fp[own, None] ^ fp[second]) <= np.where(longer < NEAR_CHARS, FEW_WORDS_NEAR, NEAR)))
             left.append(line[own[i]])
             right.append(line[second[j]])
         a, b = np.concatenate(left), np.concatenate(right)
@@ -445,7 +448,7 @@ def line_groups(placed: DataFrame, staging: Staging, least: float = SIMILARITY)
     """The lines of ``placed`` as ``lines`` gives them, and (line, check, first, count, root) of each distinct one.
 
     root tells the connected group of lines whose edit similarity is ``least`` or more, that share a key and whose
-    fingerprints differ in NEAR bits or fewer; first is the (file, idx, line_no) it occurs at first. Each
+    fingerprints differ in few bits (see NEAR); first is the (file, idx, line_no) it occurs at first. Each
     line is compared with one hub, the least line of its largest bucket. While large buckets lie in
     several components, turns with other hubs follow; then near lines of different components in each bucket are compared.
     """
