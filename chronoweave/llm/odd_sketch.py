@@ -301,8 +301,10 @@ def links(classes: DataFrame, sets: DataFrame, staging: Staging, percent: int =
     a time. All comparisons end with the full sets.
     """
     keyed = classes.select("cls", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = staging.write(keyed.join(buckets, "key"), "members")
+    # Most keys are alone; those of buckets are told apart before the join shuffles them.
+    buckets = staging.write(keyed.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    some = keyed.where(IdFilter(buckets.select("key"), buckets.count()).may_have(F.col("key")))
+    members = staging.write(some.join(buckets, "key"), "members")
 
     def stars(rows: DataFrame) -> DataFrame:
         """(a, b) for each member and the hub of its largest bucket."""
