@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.sources.shared import staged
@@ -85,3 +85,28 @@ def ewma_scan(df: DataFrame, key: str, order: list[str], value: str, path: str,
     spread = mean.withColumns({"add_": (1 - alpha) * alpha * delta * delta, "none_": F.lit(0.0)})
     both = affine_scan(spread, key, order, "keep_", "add_", "none_", f"{path}/var", "var")
     return both.select(*df.columns, "mean", "var", F.col("var_n").alias("n"))
+
+
+def trailing_counts(df: DataFrame, keys: list[str], ts: str, span_s: int, name: str, bucket_s: int = 3600) -> DataFrame:
+    """``df`` with ``name``, how many rows of its keys lie within ``span_s`` seconds before its instant, both bounds and the row itself included.
+
+    A range frame counts its rows anew for each row, which is quadratic for frequent keys. Here a count is the difference of two
+    running ones, up to the instant and up to just before its span. They run within buckets of time, so that a frequent
+    key is dealt to many tasks, and sums of whole buckets are added. Keys may be null; rows without an instant count each other.
+    """
+    at, width = F.unix_micros(F.col(ts).cast("timestamp")), bucket_s * 1_000_000
+    names = [f"key_{k}" for k in range(len(keys))]
+    own = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    rows = df.groupBy(*own, at.alias("for_")).agg(F.count("*").alias("n_"))
+    ends = rows.select(*names, "for_", F.col("for_").alias("at_"), "n_", F.lit(1).alias("sign_"))
+    starts = rows.where("for_ is not null").select(*names, "for_", F.col("for_") - (span_s * 1_000_000 + 1), F.lit(0).cast("long"), F.lit(-1))
+    steps = ends.unionAll(starts).withColumn("bucket_", F.floor(F.col("at_") / width))
+    whole = steps.groupBy(*names, "bucket_").agg(F.sum("n_").alias("whole_"))
+    past = F.sum("whole_").over(Window.partitionBy(*names).orderBy("bucket_")) - F.col("whole_")
+    before = whole.select(*(F.col(n).alias(f"b_{n}") for n in names), F.col("bucket_").alias("b_bucket_"), past.alias("past_"))
+    within = steps.withColumn("within_", F.sum("n_").over(Window.partitionBy(*names, "bucket_").orderBy("at_")))
+    met = within.join(before, [F.col(n).eqNullSafe(F.col(f"b_{n}")) for n in [*names, "bucket_"]])
+    total = F.sum(F.col("sign_") * (F.col("past_") + F.col("within_")))
+    counts = met.groupBy(*names, "for_").agg(total.alias(name))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    return df.join(counts, [*same, at.eqNullSafe(F.col("for_"))]).select(*df.columns, name)

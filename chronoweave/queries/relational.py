@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoweave.catalog import NOW, activity, load, sessions
-from chronoweave.operators import joins
+from chronoweave.operators import joins, scans
 from chronoweave.operators.sessions import capped_sessions, seconds_between, uncovered
 from chronoweave.queries.registry import ACT, SESSIONS, registry
 from chronoweave.sources import sinks
@@ -272,9 +272,8 @@ def agg_group_first_by(spark, d):
     "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) - 1 AS n FROM events",
 )
 def agg_novelty_count(spark, d):
-    # Spark gives ranges over intervals in SQL only.
-    over = "count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) - 1"
-    return load(spark, d, "events").select("event_id", F.expr(over).alias("n"))
+    counted = scans.trailing_counts(load(spark, d, "events").select("event_id", "event_type", "ts"), ["event_type"], "ts", 7 * 86_400, "seen")
+    return counted.select("event_id", (F.col("seen") - 1).alias("n"))
 
 
 @query(

@@ -39,8 +39,8 @@ def _scored(spark, d):
 
 @query("win_novelty_range", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND CURRENT ROW) - 1 AS seen FROM events")
 def win_novelty_range(spark, d):
-    seen = F.expr("count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND CURRENT ROW) - 1")
-    return load(spark, d, "events").select("event_id", seen.alias("seen"))
+    counted = scans.trailing_counts(load(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts", 7 * 86_400, "seen")
+    return counted.select("event_id", (F.col("seen") - 1).alias("seen"))
 
 
 @query("win_running_budget", "SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used <= 2000")

@@ -1,6 +1,7 @@
 """Running states against a fold over each key's rows, with a hot key over many partitions."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -54,3 +55,22 @@ def test_a_hot_key_is_dealt_to_many_tasks(spark):
     last = done.where("id = 199999").first()
     assert last.total == sum(k % 7 for k in range(200_000)) and last.total_n == 199_999
     assert scans.affine_scan(df.limit(0).selectExpr("*", "1.0D one"), "key", ["id"], "one", "x", "x", scratch(spark, "test-sum"), "total").count() == 0
+
+
+def test_trailing_counts(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, None if rng.random() < 0.3 else "a", None if rng.random() < 0.05 else int(rng.integers(0, 40)) * 500_000) for k in range(300)] + [(300, "b", None)]
+    df = spark.createDataFrame(rows, "id long, key string, us long").selectExpr("*", "cast(timestamp_micros(us) as timestamp_ntz) ts")
+    for span, bucket in ((5, 3600), (5, 2), (0, 1)):
+        found = {x.id: x.n for x in scans.trailing_counts(df, ["key"], "ts", span, "n", bucket).collect()}
+        want = {k: sum(g == key and (u is None if us is None else u is not None and us - span * 1_000_000 <= u <= us) for _, g, u in rows) for k, key, us in rows}
+        assert found == want
+
+
+def test_counts_have_no_frame_of_a_range(spark):
+    """A frame of seven days counts its rows anew for each row."""
+    from chronoweave.queries import QUERIES
+
+    for name in ("agg_novelty_count", "win_novelty_range", "tier1_score"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+        assert set(re.findall(r"specifiedwindowframe\(RangeFrame, (.*?), ", plan)) <= {"unboundedpreceding$()"}, name
