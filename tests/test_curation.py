@@ -73,6 +73,30 @@ def test_similar_pairs(spark):
     assert found == want and len(want) > 20
 
 
+def test_candidates_are_few(spark):
+    """Texts that share their rarest word and little else: sets meet in pairs only where they can be similar."""
+    random.seed(6)
+    common = [f"c{k}" for k in range(60)]
+    rows = [(1, k, sorted({f"a{k % 4}", *random.sample(common, 20)})) for k in range(200)]
+    rows += [(1, 200 + k, sorted({*rows[k][2][:-1], "zz"})) for k in range(10)]
+    classes = spark.createDataFrame(rows, "g int, item long, set array<string>")
+    found = {(x.a, x.b) for x in curation.candidate_pairs(classes, ["g"], 0.8).collect()}
+    want = {(a, b) for _, a, s in rows for _, b, t in rows if a < b and len({*s} & {*t}) >= 0.8 * len({*s} | {*t}) - 1e-9}
+    assert want <= found and len(want) >= 10 and len(found) <= 2 * len(want)  # 210 sets, four of whose rarest words are in 50 each
+
+
+def test_near_any_with_repeated_and_long_sets(spark):
+    random.seed(9)
+    letters = [f"w{k}" for k in range(40)]
+    texts = [" ".join(random.sample(letters, random.randint(1, 30))) for _ in range(150)] + ["", None]
+    golden = [" ".join([*(t or "").split()[1:], "new"]) for t in texts[::3]] + texts[:5]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    found = {x.item for x in curation.near_any(rows, "id", "t", spark.createDataFrame([(g,) for g in golden], "g string"), "g", 0.85).collect()}
+    sets = [{*g.split()} for g in golden if g.strip()]
+    want = {k for k, t in enumerate(texts) if t and any(len({*t.split()} & s) >= (0.85 - 1e-9) * len({*t.split()} | s) for s in sets)}
+    assert found == want and len(want) > 10
+
+
 def test_artifacts_and_budget(spark):
     df = spark.createDataFrame([(1, 1, "aa bb"), (2, 2, "aa"), (3, 3, " "), (4, 4, "cc")], "id int, ts int, t string")
     assert [x.id for x in ranking.artifacts(df, "t", ["aa", "bb"], "ts", "id", 5).collect()] == [1, 2]
