@@ -37,10 +37,28 @@ def range_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, b
 
 
 def nearest(left: DataFrame, right: DataFrame, left_id: str, left_ts: str, right_id: str, right_ts: str, tolerance_s: int) -> DataFrame:
-    """For each left row the nearest right row within the tolerance; ties to the smaller right id. Rows without one go."""
-    met = range_join(left, right, left_ts, right_ts, tolerance_s, tolerance_s)
-    order = Window.partitionBy(left_id).orderBy(F.abs("delta_s"), right_id)
-    return met.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+    """For each left id the nearest right row within the tolerance; ties to the smaller right id, null last. Ids without one go.
+
+    Only the last right row at or before an instant and the first one after it can be nearest, so no pairs within the tolerance are made: both are
+    carried along the rows of a bucket of time as wide as the tolerance, to which its neighbours give their last and first right row.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    width, no_row = max(1, tolerance_s) * 1_000_000, f"struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in right.schema)}>"
+    ordered = F.struct(F.col(right_id).isNull().alias("none_"), F.col(right_id).alias("id_"))
+    rows = right.where(F.col(right_ts).isNotNull()).groupBy(micros(right_ts).alias("at_")).agg(F.min_by(F.struct(*right.columns), ordered).alias("row_"))
+    rows = rows.withColumn("bucket_", F.floor(F.col("at_") / width))
+    ends = rows.groupBy("bucket_").agg(F.struct(F.min("at_").alias("at_"), F.min_by("row_", "at_").alias("row_")).alias("first"), F.struct(F.max("at_").alias("at_"), F.max_by("row_", "at_").alias("row_")).alias("last"))
+    lent = [ends.select(f"{end}.at_", f"{end}.row_", (F.col("bucket_") + step).alias("bucket_")) for end, step in (("first", -1), ("last", 1))]
+    known = rows.unionByName(lent[0]).unionByName(lent[1]).withColumns({"side_": F.lit(0), "own_": F.lit(None).cast(f"struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in left.schema)}>")})
+    asked = left.where(F.col(left_ts).isNotNull()).select(micros(left_ts).alias("at_"), F.lit(None).cast(no_row).alias("row_"), F.floor(micros(left_ts) / width).alias("bucket_"), F.lit(1).alias("side_"), F.struct(*left.columns).alias("own_"))
+    spot = F.when(F.col("side_") == 0, F.struct("at_", "row_"))
+    past, next_ = (Window.partitionBy("bucket_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in (("at_", "side_"), (F.desc("at_"), "side_")))
+    both = known.unionByName(asked).withColumn("past_", F.last(spot, ignorenulls=True).over(past)).withColumn("next_", F.last(spot, ignorenulls=True).over(next_))
+    near = both.where("side_ = 1").select("own_", "at_", F.explode(F.array("past_", "next_")).alias("met_")).withColumn("far_", F.abs(F.col("met_.at_") - F.col("at_")))
+    order = Window.partitionBy(f"own_.{left_id}").orderBy("far_", F.asc_nulls_last(f"met_.row_.{right_id}"))
+    first = near.where(F.col("far_") <= tolerance_s * 1_000_000).withColumn("place_", F.row_number().over(order)).where("place_ = 1")
+    out = first.select("own_.*", "met_.row_.*")
+    return out.withColumn("delta_s", seconds_between(F.col(right_ts), F.col(left_ts)))
 
 
 def previous_k(df: DataFrame, key: str, ts: str, item: str, k: int) -> DataFrame:

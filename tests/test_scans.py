@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from chronoweave.operators import scans
+from chronoweave.operators import joins, scans
 from chronoweave.sources.shared import scratch
 
 
@@ -74,3 +74,22 @@ def test_counts_have_no_frame_of_a_range(spark):
     for name in ("agg_novelty_count", "win_novelty_range", "tier1_score"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
         assert set(re.findall(r"specifiedwindowframe\(RangeFrame, (.*?), ", plan)) <= {"unboundedpreceding$()"}, name
+
+
+@pytest.mark.parametrize("tolerance", [0, 3])
+def test_nearest_makes_no_pairs(spark, tolerance):
+    rng = np.random.default_rng(11)
+    left = [(k // 2, None if k % 50 == 0 else int(rng.integers(0, 400)) * 250_000) for k in range(200)]
+    right = [(None if k % 40 == 0 else 300 - k, None if k % 60 == 1 else int(rng.integers(0, 400)) * 250_000) for k in range(150)]
+    make = lambda rows, a: spark.createDataFrame(rows, f"{a} long, us long").selectExpr(a, f"cast(timestamp_micros(us) as timestamp_ntz) {a}_ts")
+    done = joins.nearest(make(left, "p"), make(right, "v"), "p", "p_ts", "v", "v_ts", tolerance)
+    assert done.columns == ["p", "p_ts", "v", "v_ts", "delta_s"]
+    want = {}
+    for p, at in left:
+        for v, us in right:
+            if at is not None and us is not None and abs(us - at) <= tolerance * 1_000_000:
+                want[p] = min(want.get(p, (1 << 60, True, 0)), (abs(us - at), v is None, v or 0))
+    assert {x.p: (round(abs(x.delta_s) * 1e6), x.v is None, x.v or 0) for x in done.collect()} == want
+    instants = spark.range(4000).selectExpr("id", "cast(timestamp_micros(id * 10) as timestamp_ntz) ts")
+    crowd = joins.nearest(instants.toDF("p", "p_ts"), instants.toDF("v", "v_ts"), "p", "p_ts", "v", "v_ts", 300)
+    assert crowd.where("p = v").count() == 4000 and " Join " not in crowd._jdf.queryExecution().optimizedPlan().toString().replace("\n", " ")
