@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ESTABLISHED = 5
@@ -89,48 +90,100 @@ def leader_clusters(df: DataFrame, group: list[str], order: str, vector: str, le
     return _by_group(df, group, "leader", df.schema[order].dataType.simpleString(), number)
 
 
+def _in_order(df: DataFrame, group: list[str], ts_ms: str, mark: str, start: Column) -> DataFrame:
+    """``df`` with start_, by ``start`` of the instant before (prior_, null at a group's first row), in order of instants within each group; ties by mark, then by the other columns."""
+    rest = [c for c, kind in df.dtypes if c not in (*group, ts_ms, mark) and not kind.startswith(("map", "variant"))]
+    order = [ts_ms, mark, *rest]
+    prior = df.withColumn("prior_", F.lag(ts_ms).over(Window.partitionBy(*group).orderBy(*order)))
+    return prior.withColumn("start_", start).drop("prior_").sortWithinPartitions(*group, *order)
+
+
+def _with(df: DataFrame, column: str, kind: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {column} {kind}"
+
+
+def _longs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values, 0 for null, and which are null."""
+    return column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False)
+
+
+def _joined(at: np.ndarray, marks: np.ndarray, gone: np.ndarray, bits: int, span_ms: int) -> np.ndarray:
+    """The group of each of some frames in order, none of which is over ``span_ms`` after the one before."""
+    root, low, high = list(range(len(at))), at.tolist(), at.tolist()
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    stops = np.searchsorted(at, at + span_ms, "right")
+    for i in range(len(at)):
+        near = (np.bitwise_count((marks[i + 1 : stops[i]] ^ marks[i]).view(np.uint64)) <= bits) & ~gone[i + 1 : stops[i]]
+        for j in (np.flatnonzero(near) + i + 1).tolist() if not gone[i] else ():
+            a, b = find(i), find(j)
+            if a != b and max(high[a], high[b]) - min(low[a], low[b]) <= span_ms:
+                root[b] = a
+                low[a], high[a] = min(low[a], low[b]), max(high[a], high[b])
+    return np.array([low[find(i)] for i in range(len(at))], np.int64)
+
+
 def frame_groups(df: DataFrame, group: list[str], ts_ms: str, mark: str, bits: int = 2, span_ms: int = 30_000) -> DataFrame:
     """``df`` with frame_group, the first ``ts_ms`` of the frames that look alike.
 
     Frames whose 64-bit ``mark`` differs in ``bits`` or fewer within ``span_ms`` join, as long as the
-    whole group spans ``span_ms`` or less; pairs are taken in order, so that long runs don't chain.
+    whole group spans ``span_ms`` or less; pairs are taken in order, so that long runs don't chain. Frames
+    with a gap over ``span_ms`` between them can't join, so a task holds the rows between two such gaps at once, and a batch
+    holds many groups. Frames without mark or instant stay alone.
     """
-
-    def number(rows: pd.DataFrame) -> np.ndarray:
-        order = np.argsort(rows[ts_ms].to_numpy(), kind="stable")
-        at, marks = rows[ts_ms].to_numpy(np.int64)[order], rows[mark].to_numpy(np.int64)[order]
-        root, low, high = np.arange(len(at)), at.copy(), at.copy()
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                i = root[i]
-            return i
-
-        for i in range(len(at)):
-            stop = np.searchsorted(at, at[i] + span_ms, "right")
-            near = np.bitwise_count((marks[i + 1 : stop] ^ marks[i]).view(np.uint64)) <= bits
-            for j in np.flatnonzero(near) + i + 1:
-                a, b = find(i), find(j)
-                if a != b and max(high[a], high[b]) - min(low[a], low[b]) <= span_ms:
-                    root[b] = a
-                    low[a], high[a] = min(low[a], low[b]), max(high[a], high[b])
-        out = np.empty(len(at), np.int64)
-        out[order] = [low[find(i)] for i in range(len(at))]
-        return out
-
-    return _by_group(df, group, "frame_group", "long", number)
+    columns = df.columns
+
+    def numbered(rows: pa.RecordBatch) -> pa.RecordBatch:
+        (at, timeless), (marks, blank) = _longs(rows[ts_ms]), _longs(rows[mark])
+        out, gone = at.copy(), timeless | blank
+        starts = np.flatnonzero(rows["start_"].to_numpy(zero_copy_only=False))
+        ends = np.append(starts[1:], len(at))
+        for k in np.flatnonzero(ends - starts > 1):
+            i, j = starts[k], ends[k]
+            out[i:j] = _joined(at[i:j], marks[i:j], gone[i:j], bits, span_ms)
+        return pa.RecordBatch.from_arrays([*(rows[c] for c in columns), pa.array(out, mask=timeless)], names=[*columns, "frame_group"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch["start_"].to_numpy(zero_copy_only=False))
+            if len(starts) and (held or starts[-1]):
+                yield numbered(pa.concat_batches([*held, batch.slice(0, starts[-1])]))
+                held, batch = [], batch.slice(starts[-1])
+            held.append(batch)
+        if held:
+            yield numbered(pa.concat_batches(held))
+
+    apart = F.coalesce(F.col(ts_ms) - F.col("prior_") > span_ms, F.lit(True))
+    return _in_order(df, group, ts_ms, mark, apart).mapInArrow(run, _with(df, "frame_group", "long"))
 
 
 def kept_frames(df: DataFrame, group: list[str], ts_ms: str, mark: str, bits: int = 2, gap_ms: int = 0) -> DataFrame:
-    """``df`` with kept: a frame is dropped when it is like the last one kept, or within ``gap_ms`` of it."""
+    """``df`` with kept: a frame is dropped when it is like the last one kept, or within ``gap_ms`` of it.
 
-    def number(rows: pd.DataFrame) -> np.ndarray:
-        order = np.argsort(rows[ts_ms].to_numpy(), kind="stable")
-        out, last = np.zeros(len(rows), bool), None
-        for k in order:
-            at, own = int(rows[ts_ms].iloc[k]), int(rows[mark].iloc[k])
-            if last is None or (at - last[0] >= gap_ms and ((own ^ last[1]) & (2**64 - 1)).bit_count() > bits):
-                out[k], last = True, (at, own)
-        return out
-
-    return _by_group(df, group, "kept", "boolean", number)
+    Rows pass in order, with one frame as state; those without mark or instant are kept and compared with none.
+    """
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, at, own = False, 0, 0
+        for batch in batches:
+            (times, timeless), (marks, blank) = _longs(batch[ts_ms]), _longs(batch[mark])
+            kept = []
+            for start, t, m, gone in zip(batch["start_"].to_pylist(), times.tolist(), marks.tolist(), (timeless | blank).tolist(), strict=True):
+                seen = seen and not start
+                if gone:
+                    kept.append(True)
+                    continue
+                stays = not seen or (t - at >= gap_ms and ((m ^ own) & 0xFFFFFFFFFFFFFFFF).bit_count() > bits)
+                if stays:
+                    seen, at, own = True, t, m
+                kept.append(stays)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), pa.array(kept, pa.bool_())], names=[*columns, "kept"])
+
+    return _in_order(df, group, ts_ms, mark, F.col("prior_").isNull()).mapInArrow(run, _with(df, "kept", "boolean"))

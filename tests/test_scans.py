@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from chronoweave.operators import joins, scans
+from chronoweave.operators import joins, memory, scans
 from chronoweave.sources.shared import scratch
 
 
@@ -93,3 +93,39 @@ def test_nearest_makes_no_pairs(spark, tolerance):
     instants = spark.range(4000).selectExpr("id", "cast(timestamp_micros(id * 10) as timestamp_ntz) ts")
     crowd = joins.nearest(instants.toDF("p", "p_ts"), instants.toDF("v", "v_ts"), "p", "p_ts", "v", "v_ts", 300)
     assert crowd.where("p = v").count() == 4000 and " Join " not in crowd._jdf.queryExecution().optimizedPlan().toString().replace("\n", " ")
+
+
+def test_frames_in_batches_of_many_groups(spark):
+    """Batches of 7 rows cut groups anywhere; a group of frames is not one call of Python."""
+    rng = np.random.default_rng(3)
+    rows = [(k, None if k % 9 == 0 else int(rng.integers(0, 6)), int(t), int(rng.choice([0, 1, 7, 255]))) for k, t in enumerate(rng.permutation(4000)[:500] * 3)]
+    df = spark.createDataFrame(rows, "id long, g long, at long, mark long").repartition(5)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    try:
+        for span, gap in ((60, 0), (500, 40)):
+            groups, kept = memory.frame_groups(df, ["g"], "at", "mark", 2, span), memory.kept_frames(df, ["g"], "at", "mark", 2, gap)
+            assert "FlatMapGroupsInPandas" not in groups._jdf.queryExecution().toString() + kept._jdf.queryExecution().toString()
+            found = {x.id: x.frame_group for x in groups.collect()}, {x.id: x.kept for x in kept.collect()}
+            want = {}, {}
+            for key in {g for _, g, _, _ in rows}:
+                own = sorted((r for r in rows if r[1] == key), key=lambda r: r[2])
+                root, last = {r[0]: [r] for r in own}, None
+                for i, a in enumerate(own):
+                    for b in own[i + 1 :]:
+                        both = root[a[0]] + root[b[0]]
+                        if root[a[0]] is not root[b[0]] and b[2] - a[2] <= span and (a[3] ^ b[3]).bit_count() <= 2 and max(r[2] for r in both) - min(r[2] for r in both) <= span:
+                            root |= {r[0]: both for r in both}
+                    want[1][a[0]] = last is None or (a[2] - last[2] >= gap and (a[3] ^ last[3]).bit_count() > 2)
+                    last = a if want[1][a[0]] else last
+                want[0].update({r[0]: min(x[2] for x in root[r[0]]) for r in own})
+            assert found == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_frames_without_mark_or_instant(spark):
+    df = spark.createDataFrame([(0, 1, None, 5), (1, 1, 10, None), (2, 1, 11, 5), (3, 1, 12, 5)], "id long, g long, at long, mark long")
+    assert {x.id: x.frame_group for x in memory.frame_groups(df, ["g"], "at", "mark").collect()} == {0: None, 1: 10, 2: 11, 3: 11}
+    assert {x.id: x.kept for x in memory.kept_frames(df, ["g"], "at", "mark").collect()} == {0: True, 1: True, 2: True, 3: False}
