@@ -14,7 +14,7 @@ from chronoweave.queries.registry import ACT, SESSIONS, registry
 from chronoweave.queries.retrieval import MEMORY
 from chronoweave.queries.scalar import Q, _query_vector
 from chronoweave.sources.readers import parse_numstat
-from chronoweave.sources.shared import scratch
+from chronoweave.sources.shared import bound_batches, scratch
 
 QUERIES, ORACLES, query = registry()
 COS = f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), {Q})"
@@ -535,6 +535,7 @@ def backlog_gate(spark, d):
 
 @query("fn_hash_embed")
 def fn_hash_embed(spark, d):
+    bound_batches(spark)
     return load(spark, d, "conversations").select("conv_id", "turn", tx.hashed_embedding(F.col("text")).alias("embedding"))
 
 
