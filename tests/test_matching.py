@@ -107,3 +107,39 @@ def test_a_change_that_failed_leaves_no_trace(spark):
     assert {x.term: x.df for x in again.terms().collect()} == {"one": 1, "two": 2}
     again.insert(spark.createDataFrame([(3, "two three")], "doc_id long, text string"))
     assert {x.term: x.df for x in again.terms().collect()} == {"one": 1, "two": 3, "three": 1}
+
+
+def test_nearest_rows_compare_few_rows_at_once(spark, monkeypatch):
+    """Batches of any size: what a task holds of cosines is bounded, also with groups and ties."""
+    from chronoweave.operators import nearest
+
+    assert nearest.BLOCK * nearest.ROWS * 8 <= 16_000_000
+    monkeypatch.setattr(nearest, "ROWS", 7)
+    rng = np.random.default_rng(2)
+    vectors = rng.integers(-2, 3, (300, 4)).astype(float)
+    rows = spark.createDataFrame([(k, v.tolist(), k % 3 if k % 5 else None) for k, v in enumerate(vectors)], "id long, v array<double>, g long").repartition(3)
+    asked = rows.where("id % 20 = 0").selectExpr("id query_id", "v q")
+    allowed = asked.selectExpr("query_id", "query_id % 3 as group")
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    for limit in (None, allowed):
+        found = {(x.query_id, x.place): x["item"] for x in nearest.nearest_rows(rows, asked, "id", "v", 6, "g" if limit is not None else None, limit, block=4).collect()}
+        want = {}
+        for q in range(0, 300, 20):
+            cos = np.round(unit @ unit[q], 6)
+            own = [k for k in range(300) if vectors[k].any() and (limit is None or (k % 5 and k % 3 == q % 3))]
+            want |= {(q, n + 1): k for n, k in enumerate(sorted(own, key=lambda k: (-cos[k], k))[:6])}
+        assert found == want
+
+
+def test_batches_of_long_rows_are_bounded(spark):
+    from chronoweave.queries import QUERIES
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for query, most in (("fn_hash_embed", 512), ("fn_unified_diff", 64)):
+            spark.conf.set(name, "10000")
+            QUERIES[query](spark, "/root/testdata/sf0.001")
+            assert int(spark.conf.get(name)) <= most
+    finally:
+        spark.conf.set(name, before)
