@@ -30,6 +30,8 @@ HUBS = 3
 SMALL = 64
 #: A class with more than this part of all rows is frequent; so no more than so many are.
 FREQUENT = 1000
+#: Ids and pairs that meet full sets are broadcast up to so many rows (of under 64 bytes); beyond, the sets are shuffled to them.
+BROADCAST = 200_000
 _SAMPLES = BANDS * ROWS
 _SEEDS = mix(mix(np.arange(1, 2 * _SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 _FLIPS, _TIMES = _SEEDS[:_SAMPLES], _SEEDS[_SAMPLES:] | np.uint64(1)
@@ -155,12 +157,19 @@ def differing_bits(a: Column, b: Column) -> Column:
     return out
 
 
+def _small(rows: DataFrame, count: int) -> DataFrame:
+    """``rows`` of known number, to be broadcast if they are few."""
+    return F.broadcast(rows) if count <= BROADCAST else rows
+
+
 def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, staging: Staging, name: str, percent: int) -> DataFrame:
     """Those of the distinct ``pairs(a, b)`` that are similar, as a staged table: the sketches are looked at first, then the full sets.
 
-    Only sets of the pairs that pass the sketches are shuffled.
+    Only sketches of the pairs, and sets of those that pass the sketches, are shuffled.
     """
-    small = classes.select("cls", "n_shingles", "sketch")
+    pairs = staging.write(pairs, f"pairs-{name}")
+    wanted = IdFilter(pairs.select(F.explode(F.array("a", "b")).alias("cls")), 2 * pairs.count())
+    small = classes.where(wanted.may_have(F.col("cls"))).select("cls", "n_shingles", "sketch")
     left = [F.col("cls").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a")]
     right = [F.col("cls").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b")]
     met = pairs.join(small.select(*right), "b").join(small.select(*left), "a")
@@ -173,7 +182,7 @@ def verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, staging: Sta
     count = near.count()
     sides = [sets.where(IdFilter(near.select(side), count).may_have(F.col("cls"))).select(F.col("cls").alias(side), F.col("shingles").alias(f"x_{side}")) for side in ("b", "a")]
     both = F.size(F.array_intersect("x_a", "x_b"))
-    full = near.join(sides[0], "b").join(sides[1], "a").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
+    full = sides[0].join(_small(near, count), "b").join(sides[1], "a").where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
     return staging.write(full.select("a", "b"), f"links-{name}")
 
 
@@ -290,7 +299,7 @@ def _named(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def links(classes: DataFrame, sets: DataFrame, staging: Staging, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) that connect what pairs of similar sets connect, of ``classes(cls, n_shingles, bands, sketch)`` with their ``sets(cls, shingles)``.
+    """Edges (a, b) that connect what pairs of similar sets connect, of ``classes(cls, n_shingles, bands, sketch)``; ``sets`` has the same columns and shingles.
 
     Sets meet in the buckets of equal band keys: at 85 % one of 32 bands of six samples agrees with a
     probability of 1 - 3e-7. First each set is compared with one hub, the least member of its largest
@@ -324,14 +333,16 @@ def links(classes: DataFrame, sets: DataFrame, staging: Staging, percent: int =
     small = several.where(F.col("size") <= CHUNK).select("key", "cls", "component", F.lit(0).alias("piece"), F.lit(0).alias("side"))
     large = several.where(F.col("size") > CHUNK)
     pieces = small if large.isEmpty() else small.unionByName(_large_pieces(large))
-    described = pieces.join(classes.select("cls", "n_shingles", "sketch", "bands"), "cls")
+    # Most classes are in no bucket of several components; their bands and sketches are told apart before they are shuffled.
+    apart = IdFilter(several.select("cls").distinct(), several.count())
+    described = pieces.join(classes.where(apart.may_have(F.col("cls"))).select("cls", "n_shingles", "sketch", "bands"), "cls")
     with staging.batches(4096):
         active = staging.write(
             described.repartition("key", "piece").sortWithinPartitions("key", "piece").mapInArrow(_active(percent), "key long, piece int, side int, cls long, component long"), "active"
         )
-    own = active.select("cls").distinct()
-    some = sets.where(IdFilter(own, active.count()).may_have(F.col("cls"))).join(own, "cls", "left_semi")
-    whole = active.join(classes.select("cls", "n_shingles", "sketch", "bands"), "cls").join(some, "cls")
+    count = active.count()
+    some = sets.where(IdFilter(active.select("cls").distinct(), count).may_have(F.col("cls")))
+    whole = some.join(_small(active, count), "cls").select(*_ROW, "n_shingles", "sketch", "bands", "shingles")
     rest = whole.repartition("key", "piece").sortWithinPartitions("key", "piece").mapInArrow(_confirmed(percent), "a long, b long")
     return edges.unionByName(staging.write(rest, "links-rest"))
 
@@ -368,9 +379,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = staging.write(
         rows.where("digest is not null").groupBy("digest").agg(F.min("row").alias("cls"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes"
     )
-    ids = classes.select("cls")
-    light = staging.write(rows.join(ids, rows["row"] == ids["cls"]).select("cls", "n_shingles", "bands", "sketch"), "signatures")
-    sets = rows.select(F.col("row").alias("cls"), "shingles")
+    # The row of a set that occurs once is its class; only rows whose set may repeat are shuffled to find that of the class.
+    again = classes.where("n > 1")
+    repeats = IdFilter(again.select("digest"), again.count()).may_have(F.col("digest"))
+    full = rows.where("digest is not null").select("row", "digest", "n_shingles", "bands", "sketch")
+    alone = full.where(~repeats).select(F.col("row").alias("cls"), "n_shingles", "bands", "sketch")
+    ids = classes.where(repeats).select("cls")
+    first = full.where(repeats).join(ids, F.col("row") == F.col("cls")).select("cls", "n_shingles", "bands", "sketch")
+    light = staging.write(alone.unionByName(first), "signatures")
+    sets = rows.select(F.col("row").alias("cls"), "n_shingles", "sketch", "bands", "shingles")
     grouped = connected_components(links(light, sets, staging, percent), staging)
     named = classes.join(grouped, classes["cls"] == grouped["node"], "left").select("digest", "least", "n", F.coalesce("root", "cls").alias("root"), F.col("root").isNotNull().alias("linked"))
     told = named.where("linked").groupBy("root").agg(F.min("least").alias("component_id"))

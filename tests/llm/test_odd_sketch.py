@@ -91,6 +91,33 @@ def test_odd_rows(spark):
     assert odd_sketch.near_duplicates(df.limit(0)).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_only_what_may_be_similar_is_shuffled(spark):
+    """Sketches and bands of sets that are alone stay where they are, also where no table is small enough to be broadcast."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(3000)]
+    texts += [t + " end" for t in texts[:20]] + texts[:10]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    assert df.count() == 3030
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    threshold = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "-1")
+        before = shuffled(spark)
+        found = odd_sketch.near_duplicates(df).collect()
+        own = shuffled(spark) - before
+    finally:
+        spark.conf.set(name, threshold)
+    assert sum(not x.kept for x in found) == 30
+    assert own < 800 * len(texts)  # keys of bands are about 420 of them
+
+
 def test_sketches_estimate_and_let_similar_sets_through():
     rng = np.random.default_rng(7)
     errors, bits = [], []
