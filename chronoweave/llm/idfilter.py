@@ -43,3 +43,17 @@ class IdFilter:
             return pd.Series(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0)
 
         return test(self._spot(value))
+
+    def count_of(self, values: Column) -> Column:
+        """How many of an array's values may have been put in."""
+        shared = self.shared
+
+        @F.pandas_udf("int")
+        def count(spots: pd.Series) -> pd.Series:
+            rows = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in spots]
+            at = np.concatenate([np.zeros(0, np.int64), *rows])
+            found = np.append(0, np.cumsum(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1, dtype=np.int64))
+            ends = np.cumsum([len(x) for x in rows])
+            return pd.Series(found[ends] - found[ends - [len(x) for x in rows]])
+
+        return count(F.transform(values, self._spot))
