@@ -76,6 +76,24 @@ def _bit_counts(hashes: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def letter_counts(plain: list[str]) -> np.ndarray:
+    """How often each line has the characters of each of 16 kinds, modulo 16: four bits a kind, of one signed number."""
+    sizes = np.array([len(x) for x in plain])
+    kinds = np.frombuffer("".join(plain).encode("utf-32-le"), np.uint32) & 15
+    counts = np.bincount(np.repeat(np.arange(len(plain)), sizes) * 16 + kinds, minlength=16 * len(plain)).reshape(-1, 16) & 15
+    return np.bitwise_or.reduce(counts.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64)
+
+
+def letters_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By how many characters two lines differ at least, whatever their order, given their ``letter_counts`` as unsigned numbers.
+
+    An edit that replaces a character makes up for two, any other for one.
+    """
+    one, other = (x.view(np.uint8).reshape(-1, 8) for x in (a, b))
+    low, high = (one & 15) - (other & 15) & 15, (one >> 4) - (other >> 4) & 15
+    return (np.minimum(low, 16 - low) + np.minimum(high, 16 - high)).sum(axis=1, dtype=np.int64)
+
+
 def block_keys(hashes: np.ndarray, first: np.ndarray, blocks: int) -> np.ndarray:
     """(lines, blocks): hashes of the blocks of lines, given their words' hashes and where lines begin.
 
@@ -244,6 +262,16 @@ def edit_distance(a: str, b: str, enough: int | None = None) -> int:
     return distance
 
 
+def pairs_apart(a: str, b: str) -> int:
+    """By how many edits two lines differ at least: each changes two pairs of neighbours of either line at most."""
+    counts = []
+    for line in (a, b):
+        codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+        counts.append(np.bincount(codes[:-1] * np.uint32(37) + codes[1:] & 1023, minlength=1024))
+    more = counts[0] - counts[1]
+    return -(-int(max(more[more > 0].sum(), -more[more < 0].sum())) // 2)
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether the edit distance is at most the share 1 - ``least`` of the longer line."""
     longer = max(len(a), len(b))
@@ -262,7 +290,9 @@ class Line:
         allowed = int((1 - least) * max(len(self.text), len(other.text)) + 1e-9)
         if abs(len(self.text) - len(other.text)) > allowed:
             return False
-        return aligned_cost(self.words, other.words, allowed) <= allowed or edit_distance(self.text, other.text, allowed) <= allowed
+        if aligned_cost(self.words, other.words, allowed) <= allowed:
+            return True
+        return pairs_apart(self.text, other.text) <= allowed and edit_distance(self.text, other.text, allowed) <= allowed
 
 
 def aligned_cost(a: list[str], b: list[str], enough: int, ahead: int = 3) -> int:
@@ -302,9 +332,9 @@ def with_places(docs: DataFrame, place: tuple[Column, Column] | None, staging: S
 
 
 def lines(placed: DataFrame) -> DataFrame:
-    """(file, idx, line_no, line, check, fp, size, keys): each line of ``placed(file, idx, text)`` that isn't blank, normalised.
+    """(file, idx, line_no, line, check, fp, letters, size, keys): each line of ``placed(file, idx, text)`` that isn't blank, normalised.
 
-    line and check are the halves of the line's MD5, fp is its SimHash, size its characters and keys the
+    line and check are the halves of the line's MD5, fp is its SimHash, letters its letter_counts, size its characters and keys the
     hashes of its blocks or segments.
     """
 
@@ -315,8 +345,8 @@ def lines(placed: DataFrame) -> DataFrame:
         ends = np.searchsorted(owner, np.arange(len(plain) + 1)).astype(np.int32)
         digests = np.frombuffer(b"".join(hashlib.md5(x.encode()).digest() for x in plain), np.int64).reshape(-1, 2)
         columns = [pa.array(files, pa.int64()), pa.array(rows, pa.int64()), pa.array(numbers, pa.int32()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())]
-        columns += [pa.array(fingerprints(hashes, first)), pa.array([len(x) for x in plain], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
-        return pa.RecordBatch.from_arrays(columns, names=["file", "idx", "line_no", "line", "check", "fp", "size", "keys"])
+        columns += [pa.array(fingerprints(hashes, first)), pa.array(letter_counts(list(plain))), pa.array([len(x) for x in plain], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))]
+        return pa.RecordBatch.from_arrays(columns, names=["file", "idx", "line_no", "line", "check", "fp", "letters", "size", "keys"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,14 +363,18 @@ def lines(placed: DataFrame) -> DataFrame:
             if held:
                 yield made(held)
 
-    return placed.select("file", "idx", "text").mapInArrow(split, "file long, idx long, line_no int, line long, check long, fp long, size int, keys array<long>")
+    return placed.select("file", "idx", "text").mapInArrow(split, "file long, idx long, line_no int, line long, check long, fp long, letters long, size int, keys array<long>")
 
 
-def _near(fp_a: Column, size_a: Column, fp_b: Column, size_b: Column, least: float) -> Column:
-    """Whether fingerprints and sizes let two lines be similar."""
-    longer = F.greatest(size_a, size_b)
-    most = F.when(longer < NEAR_CHARS, FEW_WORDS_NEAR).otherwise(NEAR)
-    return (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= most) & (F.abs(size_a - size_b) <= F.floor((1 - least) * longer + 1e-9))
+def _near(a: str, b: str, least: float) -> Column:
+    """Whether fingerprints, letters and sizes, of columns named by a prefix, let two lines be similar."""
+    fp_a, letters_a, size_a = (F.col(a + c) for c in ("fp", "letters", "size"))
+    fp_b, letters_b, size_b = (F.col(b + c) for c in ("fp", "letters", "size"))
+    longer, gap = F.greatest(size_a, size_b), F.abs(size_a - size_b)
+    most, allowed = F.when(longer < NEAR_CHARS, FEW_WORDS_NEAR).otherwise(NEAR), F.floor((1 - least) * longer + 1e-9)
+    kinds = [F.shiftright(letters_a, k).bitwiseAND(15) - F.shiftright(letters_b, k).bitwiseAND(15) for k in range(0, 64, 4)]
+    apart = sum((F.least(F.abs(x), F.lit(16) - F.abs(x)) for x in kinds), F.lit(0))
+    return (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= most) & (gap <= allowed) & (apart <= 2 * allowed - gap)
 
 
 def _near_pairs(least: float):
@@ -353,13 +387,17 @@ def _near_pairs(least: float):
         first, second = np.flatnonzero(rows["side"] != 2), np.flatnonzero(rows["side"] != 1)
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         line, group, size, fp = rows["line"], rows["component"], rows["size"], rows["fp"].view(np.uint64)
+        letters = rows["letters"].view(np.uint64)
         for start in range(0, len(first), 256):
             own = first[start : start + 256]
             longer = np.maximum(size[own, None], size[second])
             good = (group[own, None] != group[second]) & (np.abs(size[own, None] - size[second]) <= (1 - least) * longer + 1e-9)
             i, j = np.nonzero(good & (np.bitwise_count(fp[own, None] ^ fp[second]) <= np.where(longer < NEAR_CHARS, FEW_WORDS_NEAR, NEAR)))
-            left.append(line[own[i]])
-            right.append(line[second[j]])
+            i, j = own[i], second[j]
+            allowed = np.floor((1 - least) * np.maximum(size[i], size[j]) + 1e-9)
+            near = letters_apart(letters[i], letters[j]) <= 2 * allowed - np.abs(size[i] - size[j])
+            left.append(line[i[near]])
+            right.append(line[j[near]])
         a, b = np.concatenate(left), np.concatenate(right)
         return np.minimum(a, b), np.maximum(a, b)
 
@@ -369,7 +407,7 @@ def _near_pairs(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
         for batch in batches:
-            rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("key", "piece", "line", "component", "size", "fp", "side")}
+            rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("key", "piece", "line", "component", "size", "fp", "letters", "side")}
             held = rows if held is None else {c: np.concatenate([held[c], rows[c]]) for c in rows}
             new = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["piece"][1:] != held["piece"][:-1])) + 1
             bounds = [0, *new.tolist()]
@@ -386,17 +424,17 @@ def _near_pairs(least: float):
 def _several(members: DataFrame, edges: DataFrame) -> DataFrame:
     """``members`` of those buckets whose lines lie in several components of ``edges``, with their component and the bucket's size."""
     grouped = connected_components(edges, Staging(members.sparkSession, "line-components"))
-    named = members.join(grouped, members["line"] == grouped["node"], "left").select("key", "line", "fp", "size", F.coalesce("root", "line").alias("component"))
+    named = members.join(grouped, members["line"] == grouped["node"], "left").select("key", "line", "fp", "letters", "size", F.coalesce("root", "line").alias("component"))
     apart = named.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.count("*").alias("held")).where("one < other")
     return named.join(apart.select("key", "held"), "key")
 
 
 def _pieces(several: DataFrame) -> DataFrame:
-    """(key, line, fp, size, component, piece, side): what is compared in each bucket.
+    """(key, line, fp, letters, size, component, piece, side): what is compared in each bucket.
 
     In a bucket of over CHUNK lines those outside its largest component, a chunk at a time, with every chunk of the bucket.
     """
-    own = ["key", "line", "fp", "size", "component"]
+    own = ["key", "line", "fp", "letters", "size", "component"]
     small = several.where(F.col("held") <= CHUNK).select(*own, F.lit(0).alias("piece"), F.lit(0).alias("side"))
     large = several.where(F.col("held") > CHUNK)
     if large.isEmpty():
@@ -448,7 +486,7 @@ def line_groups(placed: DataFrame, staging: Staging, least: float = SIMILARITY)
     """The lines of ``placed`` as ``lines`` gives them, and (line, check, first, count, root) of each distinct one.
 
     root tells the connected group of lines whose edit similarity is ``least`` or more, that share a key and whose
-    fingerprints differ in few bits (see NEAR); first is the (file, idx, line_no) it occurs at first. Each
+    fingerprints differ in few bits (see NEAR); counts of letters tell apart only what can't be similar; first is the (file, idx, line_no) it occurs at first. Each
     line is compared with one hub, the least line of its largest bucket. While large buckets lie in
     several components, turns with other hubs follow; then near lines of different components in each bucket are compared.
     """
@@ -457,18 +495,18 @@ def line_groups(placed: DataFrame, staging: Staging, least: float = SIMILARITY)
     distinct = staging.write(
         found.groupBy("line", "check").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(place).alias("first"), F.count("*").alias("count")), "distinct"
     )
-    keyed = found.select("line", "fp", "size", F.explode("keys").alias("key"))
+    keyed = found.select("line", "fp", "letters", "size", F.explode("keys").alias("key"))
     buckets = staging.write(
         keyed.groupBy("key").agg(F.min("line").alias("one"), F.max("line").alias("other")).where("one < other").select("key"), "buckets"
     )
     some = keyed.where(IdFilter(buckets, buckets.count()).may_have(F.col("key")))
-    met = some.join(buckets, "key", "left_semi").groupBy("key", "line").agg(F.min("fp").alias("fp"), F.min("size").alias("size"))
+    met = some.join(buckets, "key", "left_semi").groupBy("key", "line").agg(F.min("fp").alias("fp"), F.min("letters").alias("letters"), F.min("size").alias("size"))
     members = staging.write(met, "members")
-    hubs = members.groupBy("key").agg(F.min(F.struct("line", "fp", "size")).alias("hub"), F.count("*").alias("held"))
+    hubs = members.groupBy("key").agg(F.min(F.struct("line", "fp", "letters", "size")).alias("hub"), F.count("*").alias("held"))
 
     def stars(rows: DataFrame) -> DataFrame:
         """(a, b) for each line and the hub of the largest bucket where the two are near."""
-        near = rows.where((F.col("line") != F.col("hub.line")) & _near(F.col("fp"), F.col("size"), F.col("hub.fp"), F.col("hub.size"), least))
+        near = rows.where((F.col("line") != F.col("hub.line")) & _near("", "hub.", least))
         largest = near.groupBy("line").agg(F.max(F.struct("held", "key", F.col("hub.line").alias("hub"))).alias("largest"))
         return largest.select(F.col("largest.hub").alias("a"), F.col("line").alias("b"))
 
@@ -479,7 +517,7 @@ def line_groups(placed: DataFrame, staging: Staging, least: float = SIMILARITY)
         large = several.where(F.col("held") > SMALL)
         if large.isEmpty():
             break
-        other = large.groupBy("key").agg(F.min_by(F.struct("line", "fp", "size", "component"), F.xxhash64("line", F.lit(turn))).alias("hub"))
+        other = large.groupBy("key").agg(F.min_by(F.struct("line", "fp", "letters", "size", "component"), F.xxhash64("line", F.lit(turn))).alias("hub"))
         more = staging.write(stars(large.join(other, "key").where("component != hub.component")), f"stars-{turn}")
         edges = edges.unionByName(similar_pairs(more, placed, distinct, staging, str(turn), least))
         several = staging.write(_several(members, edges), f"several-{turn}")

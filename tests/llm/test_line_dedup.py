@@ -152,3 +152,38 @@ def test_large_buckets(spark, chunk, monkeypatch):
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").coalesce(1)
     found = sorted(str(x.text) for x in line_dedup.dedup_lines(df).collect())
     assert found == sorted(map(str, brute(list(enumerate(lines)))))
+
+
+def test_counts_tell_no_similar_lines_apart():
+    """Counts of letters and of pairs bound the edits from below, and tell most lines with a common block apart."""
+    rng = np.random.default_rng(7)
+    told = []
+    for words in (5, 9, 12, 40, 90):
+        for _ in range(150):
+            own = " ".join(word(rng) for _ in range(words))
+            changed = own
+            for _ in range(rng.integers(1, len(own) // 10 + 1)):
+                changed = typo(rng, changed)
+            other = " ".join([*own.split(" ")[: words // 4], *(word(rng) for _ in range(words - words // 4))])
+            for a, b in ((own, changed), (own, other)):
+                a, b = normalise(a), normalise(b)
+                edits, sketch = edit_distance(a, b), line_dedup.letter_counts([a, b]).view(np.uint64)
+                apart = int(line_dedup.letters_apart(sketch[:1], sketch[1:])[0])
+                assert apart <= 2 * edits - abs(len(a) - len(b)) and line_dedup.pairs_apart(a, b) <= edits
+            if words in (9, 12):
+                told.append(apart > 2 * int(0.1 * max(len(a), len(b)) + 1e-9) - abs(len(a) - len(b)))
+    assert np.mean(told) >= 0.9
+
+
+def test_common_blocks_make_few_pairs():
+    """Lines of one bucket that share a block and little else."""
+    rng = np.random.default_rng(8)
+    plain = [" ".join(["so it is said that", *(word(rng) for _ in range(8))]) for _ in range(300)]
+    hashes, first = line_dedup.word_hashes("\n".join(plain).encode())
+    sizes, lines = np.array([len(x) for x in plain], np.int32), np.arange(300)
+    fp = line_dedup.fingerprints(hashes, first)
+    columns = {"key": 0 * lines, "piece": 0 * lines, "line": lines, "component": lines, "size": sizes, "fp": fp, "side": 0 * lines, "letters": line_dedup.letter_counts(plain)}
+    batch = line_dedup.pa.RecordBatch.from_pydict({k: line_dedup.pa.array(x) for k, x in columns.items()})
+    made = sum(x.num_rows for x in line_dedup._near_pairs(0.9)(iter([batch])))
+    near = np.triu(np.bitwise_count((fp[:, None] ^ fp).view(np.uint64)) <= line_dedup.FEW_WORDS_NEAR, 1).sum()
+    assert near > 1000 and made < near / 10
