@@ -15,8 +15,9 @@ _BITS_AN_ID = 16
 class IdFilter:
     """The hashed values of the column of ``ids``, as a bitmap of bounded size. It never denies a value that was put in."""
 
-    def __init__(self, ids: DataFrame, count: int = 0):
-        """``count``: about how many values there are, which sets the size."""
+    def __init__(self, ids: DataFrame, count: int = 0, hashed: bool = False):
+        """``count``: about how many values there are, which sets the size; ``hashed``: they are hashes, of which the low bits do."""
+        self.hashed = hashed
         self.width = 1 << min(_MOST, max(_LEAST, (count * _BITS_AN_ID).bit_length()))
         spot = self._spot(ids[ids.columns[0]])
         parts = ids.select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket"))
@@ -32,7 +33,15 @@ class IdFilter:
         self.shared = ids.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
 
     def _spot(self, value: Column) -> Column:
-        return F.pmod(F.xxhash64(value), F.lit(self.width))
+        return F.pmod(value if self.hashed else F.xxhash64(value), F.lit(self.width))
+
+    def held(self, values: np.ndarray) -> np.ndarray:
+        """Which of some hashes may have been put in, within a task."""
+        at = values & (self.width - 1)
+        return self.shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+
+    def __getstate__(self) -> dict:
+        return {"width": self.width, "hashed": self.hashed, "shared": self.shared}
 
     def may_have(self, value: Column) -> Column:
         shared = self.shared

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm import bytehash
 from chronoweave.llm.bytehash import mix, word_hashes
 from chronoweave.llm.components import connected_components
+from chronoweave.llm.edits import within
 from chronoweave.llm.idfilter import IdFilter
 from chronoweave.llm.staging import Staging
 
@@ -37,6 +38,12 @@ SMALL = 64
 CHUNK = 1024
 #: Texts of more characters are compared within a band.
 BAND = 512
+#: Lines of more characters are compared pair by pair, not with the other members of their bucket.
+LONG = 1280
+#: So many pairs of a bucket are compared before those whose lines are linked by now are left out.
+TURN = 4096
+#: So many rows are sent to the texts instead of the texts to them.
+BROADCAST_ROWS = 200_000
 _CHARS = 1 << 19
 
 
@@ -279,6 +286,17 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return abs(len(a) - len(b)) <= allowed and edit_distance(a, b, allowed) <= allowed
 
 
+def all_similar(first: list[str], second: list[str], least: float) -> np.ndarray:
+    """``similar`` of many pairs, of which those of up to LONG characters go together."""
+    longer = np.array([max(len(a), len(b)) for a, b in zip(first, second, strict=True)], np.int64)
+    found, allowed = np.zeros(len(longer), bool), np.floor((1 - least) * longer + 1e-9).astype(np.int64)
+    short = np.flatnonzero(longer <= LONG)
+    found[short] = within([first[k] for k in short], [second[k] for k in short], allowed[short])
+    for k in np.flatnonzero(longer > LONG):
+        found[k] = Line(first[k]).similar(Line(second[k]), least)
+    return found
+
+
 class Line:
     """A line and its words."""
 
@@ -377,46 +395,163 @@ def _near(a: str, b: str, least: float) -> Column:
     return (F.bit_count(fp_a.bitwiseXOR(fp_b)) <= most) & (gap <= allowed) & (apart <= 2 * allowed - gap)
 
 
-def _near_pairs(least: float):
-    """Pairs of members of a bucket that are near and in different components; of rows sorted by bucket and piece.
+_MEMBER = ("key", "piece", "side", "line", "component", "size", "fp", "letters")
+_MEMBER_TYPES = "key long, piece int, side int, line long, component long, size int, fp long, letters long"
 
-    side tells what a member is compared with: 0 with every other, 1 only with those of side 2.
-    """
 
-    def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        first, second = np.flatnonzero(rows["side"] != 2), np.flatnonzero(rows["side"] != 1)
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        line, group, size, fp = rows["line"], rows["component"], rows["size"], rows["fp"].view(np.uint64)
-        letters = rows["letters"].view(np.uint64)
+def _near_places(rows: dict[str, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of rows that are near and in different components, of whole pieces of buckets in order.
+
+    side tells what a member is compared with: 0 with every other of its piece, 1 only with those of side 2.
+    """
+    key, piece, side, group = rows["key"], rows["piece"], rows["side"], rows["component"]
+    size, fp, letters = rows["size"], rows["fp"].view(np.uint64), rows["letters"].view(np.uint64)
+    starts = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (piece[1:] != piece[:-1])) + 1)
+    ends = np.append(starts[1:], len(key))
+    number = np.repeat(np.arange(len(starts)), ends - starts)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(i: np.ndarray, j: np.ndarray) -> None:
+        longer, gap = np.maximum(size[i], size[j]), np.abs(size[i] - size[j])
+        allowed = np.floor((1 - least) * longer + 1e-9)
+        good = (gap <= allowed) & (np.bitwise_count(fp[i] ^ fp[j]) <= np.where(longer < NEAR_CHARS, FEW_WORDS_NEAR, NEAR))
+        i, j, most = i[good], j[good], (2 * allowed - gap)[good]
+        near = letters_apart(letters[i], letters[j]) <= most
+        left.append(i[near])
+        right.append(j[near])
+
+    # Members of small pieces meet those so many rows behind them, in all pieces at once.
+    small = np.flatnonzero(((ends - starts <= SMALL) & (side[starts] == 0))[number])
+    for ahead in range(1, SMALL):
+        small = small[small + ahead < len(key)]
+        small = small[number[small] == number[small + ahead]]
+        if not len(small):
+            break
+        met = small[group[small] != group[small + ahead]]
+        add(met, met + ahead)
+    for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        if e - s <= SMALL and side[s] == 0:
+            continue
+        first, second = s + np.flatnonzero(side[s:e] != 2), s + np.flatnonzero(side[s:e] != 1)
         for start in range(0, len(first), 256):
             own = first[start : start + 256]
-            longer = np.maximum(size[own, None], size[second])
-            good = (group[own, None] != group[second]) & (np.abs(size[own, None] - size[second]) <= (1 - least) * longer + 1e-9)
-            i, j = np.nonzero(good & (np.bitwise_count(fp[own, None] ^ fp[second]) <= np.where(longer < NEAR_CHARS, FEW_WORDS_NEAR, NEAR)))
-            i, j = own[i], second[j]
-            allowed = np.floor((1 - least) * np.maximum(size[i], size[j]) + 1e-9)
-            near = letters_apart(letters[i], letters[j]) <= 2 * allowed - np.abs(size[i] - size[j])
-            left.append(line[i[near]])
-            right.append(line[j[near]])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return np.minimum(a, b), np.maximum(a, b)
-
-    def frame(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["a", "b"])
+            few = (side[own, None] == 1) | (own[:, None] < second)
+            i, j = np.nonzero(few & (group[own, None] != group[second]) & (np.bitwise_count(fp[own, None] ^ fp[second]) <= FEW_WORDS_NEAR))
+            add(own[i], second[j])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _whole_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, dict[str, np.ndarray]]]:
+    """Rows sorted by bucket and piece, as tables that end where a piece does, with the columns of members."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        key, piece = held["key"].to_numpy(), held["piece"].to_numpy()
+        new = np.flatnonzero((key[1:] != key[:-1]) | (piece[1:] != piece[:-1])) + 1
+        if len(new):
+            whole = held.slice(0, new[-1])
+            yield whole, {c: whole[c].to_numpy() for c in _MEMBER}
+            held = held.slice(new[-1])
+    if held is not None and len(held) > 1:
+        yield held, {c: held[c].to_numpy() for c in _MEMBER}
+
+
+def _near_pairs(least: float):
+    """(a, b): near pairs themselves, to see what the members of buckets are compared with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _whole_pieces(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(rows["line"][k]) for k in _near_places(rows, least)], names=["a", "b"])
+
+    return run
+
+
+def _partnered(least: float):
+    """The rows that are near another one of their bucket and piece in a different component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, rows in _whole_pieces(batches):
+            some = np.unique(np.concatenate(_near_places(rows, least)))
+            if len(some):
+                yield from table.select(list(_MEMBER)).take(pa.array(some)).combine_chunks().to_batches()
+
+    return run
+
+
+def _first_shared(keys: list[np.ndarray], key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share no key less than their bucket's."""
+    less = [x[x < k] for x, k in zip(keys, key, strict=True)]
+    width = max(map(len, less))
+    # Rows are filled up with two numbers that neither row of a pair has else.
+    one, other = (np.repeat(x[:, None], width, axis=1) for x in (key, key + 1))
+    for k, x in enumerate(less):
+        one[k, : len(x)] = other[k, : len(x)] = x
+    out, step = np.ones(len(i), bool), max(1, (1 << 22) // max(1, width) ** 2)
+    for start in range(0, len(i), step):
+        part = slice(start, start + step)
+        out[part] = ~(one[i[part], :, None] == other[j[part], None, :]).any(axis=(1, 2))
+    return out
+
+
+def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root``, the least member of each one's group, when ``a`` and ``b`` are linked as well."""
+    while True:
+        least, after = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(after, root[a], least)
+        np.minimum.at(after, root[b], least)
+        after = after[after]
+        if np.array_equal(after, root):
+            return root
+        root = after
+
+
+def _linked(least: float):
+    """(a, b, sure): links of rows with plain and keys, of the pairs whose first common key is the bucket's; not sure if a line is long.
+
+    Sure links are one for each member of a group within the rows at hand but its least one.
+    """
+
+    def frame(a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.full(len(a), sure))], names=["a", "b", "sure"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, rows in _whole_pieces(batches):
+            i, j = _near_places(rows, least)
+            if not len(i):
+                continue
+            first = _first_shared([np.array(x, np.int64) for x in table["keys"].to_pylist()], rows["key"], i, j)
+            i, j, plain, size = i[first], j[first], table["plain"].to_pylist(), rows["size"]
+            line, at = np.unique(rows["line"], return_inverse=True)
+            long = np.maximum(size[i], size[j]) > LONG
+            a, b = rows["line"][i[long]], rows["line"][j[long]]
+            yield frame(np.minimum(a, b), np.maximum(a, b), False)
+            order = np.random.default_rng(0).permutation(np.flatnonzero(~long))
+            i, j, root = i[order], j[order], np.arange(len(line))
+            while len(i):
+                a, b = i[:TURN], j[:TURN]
+                good = all_similar([plain[k] for k in a], [plain[k] for k in b], least)
+                root = _roots(root, at[a[good]], at[b[good]])
+                i, j = i[TURN:], j[TURN:]
+                apart = root[at[i]] != root[at[j]]
+                i, j = i[apart], j[apart]
+            led = np.flatnonzero(root != np.arange(len(root)))
+            yield frame(line[root[led]], line[led], True)
+
+    return run
+
+
+def _with_keys(may_meet: IdFilter):
+    """A row for each of those keys of a line that ``may_meet`` has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
         for batch in batches:
-            rows = {c: batch[c].to_numpy(zero_copy_only=False) for c in ("key", "piece", "line", "component", "size", "fp", "letters", "side")}
-            held = rows if held is None else {c: np.concatenate([held[c], rows[c]]) for c in rows}
-            new = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["piece"][1:] != held["piece"][:-1])) + 1
-            bounds = [0, *new.tolist()]
-            for s, e in zip(bounds, bounds[1:], strict=False):
-                if e - s > 1:
-                    yield frame(pairs({c: x[s:e] for c, x in held.items()}))
-            held = {c: x[bounds[-1] :] for c, x in held.items()}
-        if held is not None and len(held["key"]) > 1:
-            yield frame(pairs(held))
+            lists = batch["keys"]
+            keys = lists.flatten().to_numpy()
+            held = may_meet.held(keys)
+            owner = pa.array(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())[held])
+            columns = [batch[c].take(owner) for c in ("line", "fp", "letters", "size")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(keys[held])], names=["line", "fp", "letters", "size", "key"])
 
     return run
 
@@ -449,14 +584,20 @@ def _pieces(several: DataFrame) -> DataFrame:
     return small.unionByName(rest.select(*own, piece, F.lit(1).alias("side"))).unionByName(every.select(*own, piece, F.lit(2).alias("side")))
 
 
-def _texts(placed: DataFrame, wanted: DataFrame, staging: Staging, name: str) -> DataFrame:
-    """(line, plain) for each of ``wanted(line, first)``, read from the row where it occurs first."""
+def _few(rows: DataFrame, count: int) -> DataFrame:
+    """``rows`` as they are joined to texts: up to BROADCAST_ROWS are sent to where the texts are."""
+    return F.broadcast(rows) if count <= BROADCAST_ROWS else rows
+
+
+def _texts(placed: DataFrame, distinct: DataFrame, lines: DataFrame, staging: Staging, name: str) -> DataFrame:
+    """(line, plain) for each of the distinct ``lines``, read from the row where it occurs first."""
+    wanted = lines.join(distinct.groupBy("line").agg(F.min("first").alias("first")), "line")
     by_row = staging.write(
         wanted.groupBy(F.col("first.file").alias("w_file"), F.col("first.idx").alias("w_idx")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("line_no"), "line")).alias("wanted")), f"wanted-{name}"
     )
-    key = F.struct("file", "idx")
-    own = placed.select("file", "idx", "text").where(IdFilter(by_row.select(F.struct(F.col("w_file").alias("file"), F.col("w_idx").alias("idx"))), by_row.count()).may_have(key))
-    met = own.join(by_row, (F.col("file") == F.col("w_file")) & (F.col("idx") == F.col("w_idx"))).select("text", "wanted")
+    key, count = F.struct("file", "idx"), by_row.count()
+    own = placed.select("file", "idx", "text").where(IdFilter(by_row.select(F.struct(F.col("w_file").alias("file"), F.col("w_idx").alias("idx"))), count).may_have(key))
+    met = own.join(_few(by_row, count), (F.col("file") == F.col("w_file")) & (F.col("idx") == F.col("w_idx"))).select("text", "wanted")
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -469,14 +610,16 @@ def _texts(placed: DataFrame, wanted: DataFrame, staging: Staging, name: str) ->
     return staging.write(met.mapInPandas(pick, "line long, plain string"), f"texts-{name}")
 
 
-def similar_pairs(pairs: DataFrame, placed: DataFrame, distinct: DataFrame, staging: Staging, name: str, least: float) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).distinct()
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, staging: Staging, name: str, least: float) -> DataFrame:
     """Those of the distinct ``pairs(a, b)`` whose edit similarity is ``least`` or more, as a staged table."""
-    own = pairs.select(F.col("a").alias("line")).unionAll(pairs.select("b")).distinct()
-    texts = _texts(placed, own.join(distinct.groupBy("line").agg(F.min("first").alias("first")), "line"), staging, name)
 
     @F.pandas_udf("boolean")
     def alike(first: pd.Series, second: pd.Series) -> pd.Series:
-        return pd.Series([Line(a).similar(Line(b), least) for a, b in zip(first, second, strict=True)], dtype=bool)
+        return pd.Series(all_similar(first.tolist(), second.tolist(), least))
 
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("plain").alias("x")), "a").join(texts.select(F.col("line").alias("b"), F.col("plain").alias("y")), "b")
     return staging.write(both.where(alike("x", "y")).select("a", "b"), f"similar-{name}")
@@ -499,9 +642,11 @@ def line_groups(placed: DataFrame, staging: Staging, least: float = SIMILARITY)
     buckets = staging.write(
         keyed.groupBy("key").agg(F.min("line").alias("one"), F.max("line").alias("other")).where("one < other").select("key"), "buckets"
     )
-    some = keyed.where(IdFilter(buckets, buckets.count()).may_have(F.col("key")))
+    may_meet = IdFilter(buckets, buckets.count(), hashed=True)
+    some = found.select("line", "fp", "letters", "size", "keys").mapInArrow(_with_keys(may_meet), "line long, fp long, letters long, size int, key long")
     met = some.join(buckets, "key", "left_semi").groupBy("key", "line").agg(F.min("fp").alias("fp"), F.min("letters").alias("letters"), F.min("size").alias("size"))
-    members = staging.write(met, "members")
+    with staging.batches(8192):
+        members = staging.write(met, "members")
     hubs = members.groupBy("key").agg(F.min(F.struct("line", "fp", "letters", "size")).alias("hub"), F.count("*").alias("held"))
 
     def stars(rows: DataFrame) -> DataFrame:
@@ -511,7 +656,7 @@ def line_groups(placed: DataFrame, staging: Staging, least: float = SIMILARITY)
         return largest.select(F.col("largest.hub").alias("a"), F.col("line").alias("b"))
 
     first = staging.write(stars(members.join(hubs, "key")), "stars-0")
-    edges = similar_pairs(first, placed, distinct, staging, "0", least)
+    edges = similar_pairs(first, _texts(placed, distinct, _ends(first), staging, "0"), staging, "0", least)
     several = staging.write(_several(members, edges), "several-0")
     for turn in range(1, HUBS):
         large = several.where(F.col("held") > SMALL)
@@ -519,12 +664,19 @@ def line_groups(placed: DataFrame, staging: Staging, least: float = SIMILARITY)
             break
         other = large.groupBy("key").agg(F.min_by(F.struct("line", "fp", "letters", "size", "component"), F.xxhash64("line", F.lit(turn))).alias("hub"))
         more = staging.write(stars(large.join(other, "key").where("component != hub.component")), f"stars-{turn}")
-        edges = edges.unionByName(similar_pairs(more, placed, distinct, staging, str(turn), least))
+        edges = edges.unionByName(similar_pairs(more, _texts(placed, distinct, _ends(more), staging, str(turn)), staging, str(turn), least))
         several = staging.write(_several(members, edges), f"several-{turn}")
     rows = _pieces(several).repartition("key", "piece").sortWithinPartitions("key", "piece")
     with staging.batches(8192):
-        pairs = staging.write(rows.mapInArrow(_near_pairs(least), "a long, b long").distinct(), "pairs")
-    edges = edges.unionByName(similar_pairs(pairs, placed, distinct, staging, "rest", least))
+        active = staging.write(rows.select(*_MEMBER).mapInArrow(_partnered(least), _MEMBER_TYPES), "active")
+    # Each pair is compared in the first bucket it shares, so lines go with all buckets where they have a partner.
+    texts = _texts(placed, distinct, active.select("line").distinct(), staging, "rest")
+    plain = F.when(F.length("plain") <= LONG, F.col("plain")).alias("plain")
+    told = active.groupBy("line").agg(F.array_sort(F.collect_set("key")).alias("keys")).join(texts.select("line", plain), "line")
+    rows = active.join(told, "line").select(*_MEMBER, "keys", "plain").repartition("key", "piece").sortWithinPartitions("key", "piece")
+    links = staging.write(rows.mapInArrow(_linked(least), "a long, b long, sure boolean"), "links")
+    long = similar_pairs(links.where("not sure").select("a", "b").distinct(), texts, staging, "rest", least)
+    edges = edges.unionByName(links.where("sure").select("a", "b")).unionByName(long)
     grouped = connected_components(edges, staging)
     return found, distinct.join(grouped.withColumnRenamed("node", "line"), "line", "left").select("line", "check", "first", "count", F.coalesce("root", "line").alias("root"))
 
@@ -544,7 +696,8 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY, place: tuple[Column,
     losing = named.join(groups, "root").select("line", "check", "stays")
     gone = found.select("file", "idx", "line_no", "line", "check").join(losing, ["line", "check"]).where(F.struct("file", "idx", "line_no") != F.col("stays"))
     by_row = staging.write(gone.groupBy(F.col("file").alias("l_file"), F.col("idx").alias("l_idx")).agg(F.collect_list("line_no").alias("lost")), "lost")
-    touched = IdFilter(by_row.select(F.struct(F.col("l_file").alias("file"), F.col("l_idx").alias("idx"))), by_row.count())
+    rows = by_row.count()
+    touched = IdFilter(by_row.select(F.struct(F.col("l_file").alias("file"), F.col("l_idx").alias("idx"))), rows)
     key, whole = F.struct("file", "idx"), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     count = F.coalesce(whole, F.lit(0)).cast("int")
 
@@ -558,7 +711,7 @@ def dedup_lines(docs: DataFrame, least: float = SIMILARITY, place: tuple[Column,
 
     fields = lambda text, dropped: [*(F.col(f"doc.{c}").alias(c) if c != "text" else text.alias("text") for c in docs.columns), count.alias("lines"), dropped.cast("int").alias("dropped")]
     clean = placed.where(~touched.may_have(key)).select(*fields(F.col("text"), F.lit(0)))
-    met = placed.where(touched.may_have(key)).join(by_row, (F.col("file") == F.col("l_file")) & (F.col("idx") == F.col("l_idx")), "left")
+    met = placed.where(touched.may_have(key)).join(_few(by_row, rows), (F.col("file") == F.col("l_file")) & (F.col("idx") == F.col("l_idx")), "left")
     same = met.where("lost is null").select(*fields(F.col("text"), F.lit(0)))
     changed = met.where("lost is not null").select(*fields(without("text", "lost"), F.size("lost")))
     return clean.unionByName(same).unionByName(changed)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.llm import line_dedup
+from chronoweave.llm.edits import within
 from chronoweave.llm.line_dedup import edit_distance, normalise, similar
 
 SYLLABLES = [a + b for a in "bdfgklmnprst" for b in "aeiou"]
@@ -187,3 +188,39 @@ def test_common_blocks_make_few_pairs():
     made = sum(x.num_rows for x in line_dedup._near_pairs(0.9)(iter([batch])))
     near = np.triu(np.bitwise_count((fp[:, None] ^ fp).view(np.uint64)) <= line_dedup.FEW_WORDS_NEAR, 1).sum()
     assert near > 1000 and made < near / 10
+
+
+def test_many_distances_at_once():
+    rng = np.random.default_rng(9)
+    for size, letters in ((12, "ab"), (70, "abcd"), (400, "abcé "), (1000, "abc文😀")):
+        first, second = [], []
+        for _ in range(150):
+            a = "".join(rng.choice(list(letters), rng.integers(0, size)))
+            b = list(a)
+            for _ in range(rng.integers(0, size // 5 + 1)):
+                k = int(rng.integers(0, len(b) + 1))
+                b[k : k + int(rng.integers(0, 2))] = [str(rng.choice(list(letters)))] * int(rng.integers(0, 2))
+            first.append(a)
+            second.append("".join(b))
+        allowed = rng.integers(0, size // 4 + 1, len(first))
+        want = [edit_distance(a, b) <= x for a, b, x in zip(first, second, allowed, strict=True)]
+        assert within(first, second, allowed).tolist() == want and 10 < sum(want) < 150
+
+
+def test_near_copies_make_few_rows():
+    """A bucket of near copies gives a link a line, and each pair is compared in one of the buckets it shares."""
+    rng = np.random.default_rng(10)
+    words = [word(rng) for _ in range(40)]
+    plain = [" ".join([word(rng) if k in rng.integers(0, 40, 2) else w for k, w in enumerate(words)]) for _ in range(300)]
+    hashes, first = line_dedup.word_hashes("\n".join(plain).encode())
+    lines = np.arange(300)
+    one = {"piece": 0 * lines, "side": 0 * lines, "line": lines, "component": lines, "size": np.array([len(x) for x in plain]), "fp": line_dedup.fingerprints(hashes, first)}
+    one |= {"letters": line_dedup.letter_counts(plain), "plain": plain, "keys": [[3, 8]] * 300}
+    both = [line_dedup.pa.RecordBatch.from_pydict({"key": np.full(300, key)} | one) for key in (3, 8)]
+    active = sum(x.num_rows for x in line_dedup._partnered(0.9)(iter(both)))
+    made = [x.to_pydict() for x in line_dedup._linked(0.9)(iter(both))]
+    assert active <= 600 and sum(len(x["a"]) for x in made) < 300
+    links = [(a, b) for x in made for a, b in zip(x["a"], x["b"], strict=True)]
+    root = line_dedup._roots(lines, *np.array(links).T)
+    pairs = np.array([(i, j) for i in range(300) for j in range(i) if similar(plain[i], plain[j])])
+    assert len(pairs) > 3000 and np.array_equal(root[pairs[:, 0]], root[pairs[:, 1]])
