@@ -1,6 +1,7 @@
 """Spelling, tense, routes, comparisons, similar texts, clearing and streams with state."""
 
 import difflib
+import hashlib
 import random
 
 import pytest
@@ -73,6 +74,28 @@ def test_similar_pairs(spark):
     assert found == want and len(want) > 20
 
 
+def test_similar_texts_lose_no_link(spark):
+    """Copies, texts of the same words, repeated and null items and null buckets keep their links, by classes and their members."""
+    random.seed(11)
+    texts = [" ".join(random.choices("abcdefgh", k=random.randint(1, 8))) for _ in range(120)] + ["x y z", "z y x", "x y z", " . ", None]
+    rows = [((None, "u", "v")[k % 3], k % 7 if k % 7 < 6 else None, t) for k, t in enumerate(texts)]
+    members, pairs = curation.similar_texts(spark.createDataFrame(rows, "g string, id long, t string"), ["g"], "id", "t", 0.6)
+    held, near = members.collect(), {(x.g, x.class_a, x.class_b): (x.a, x.b) for x in pairs.collect()}
+    name = lambda t: hashlib.md5(" ".join(sorted({*t.split()})).encode()).hexdigest() if t and t.strip(" .") else None
+    assert sorted(map(str, ((x.g, x["class"], x.item) for x in held))) == sorted(map(str, ((g, name(t), k) for g, k, t in rows)))
+    first = {}
+    for g, k, t in rows:
+        if name(t):
+            first.setdefault((g, name(t)), ({*t.split()}, []))[1].extend([] if k is None else [k])
+    want = {
+        (g, a, b): (min(m, default=None), min(n, default=None)) for (g, a), (s, m) in first.items() for (h, b), (t, n) in first.items()
+        if g == h and a < b and len(s & t) / len(s | t) >= 0.6 - 1e-9
+    }
+    assert near == want and len(want) > 20 and pairs.count() == len(want)
+    assert any(a == b for a, b in want.values()) and any(g is None for g, _, _ in want)
+    assert [len({x["class"] for x in held if x.g == g and x["class"] == name("x y z")}) for g in (None, "u", "v")] == [1, 1, 1]
+
+
 def test_candidates_are_few(spark):
     """Texts that share their rarest word and little else: sets meet in pairs only where they can be similar."""
     random.seed(6)
